@@ -1,0 +1 @@
+"""veilstream: a Spark-native engine for PII redaction and prompt safety."""
