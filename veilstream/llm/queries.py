@@ -13,12 +13,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.quality import quality_digest, quality_rules
+
+    return quality_digest(quality_rules(_read(spark, sf_dir, "documents")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilstream.llm.packing import pack_power_of_two, packing_digest
 
     return packing_digest(pack_power_of_two(_read(spark, sf_dir, "documents")))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.simhash import near_duplicates, simhash_digest
+
+    return simhash_digest(near_duplicates(_read(spark, sf_dir, "documents")))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilstream.llm.tokenfile import read_token_files, token_digest, write_token_files
 
