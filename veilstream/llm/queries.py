@@ -19,6 +19,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(quality_rules(_read(spark, sf_dir, "documents")))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.langid import language_digest
+
+    return language_digest(_read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilstream.llm.packing import pack_power_of_two, packing_digest
 
