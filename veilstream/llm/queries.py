@@ -19,6 +19,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(quality_rules(_read(spark, sf_dir, "documents")))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.licenses import license_digest, scan_licenses
+
+    return license_digest(scan_licenses(_read(spark, sf_dir, "documents")))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilstream.llm.langid import language_digest
 
@@ -31,6 +37,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(pack_power_of_two(_read(spark, sf_dir, "documents")))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilstream.llm.simhash import near_duplicates, simhash_digest
 
@@ -48,4 +60,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from veilstream.llm.licenses import license_sql
+
+    return {"op5_licenses": license_sql()}
