@@ -19,6 +19,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_read(spark, sf_dir, "documents"))
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.urls import judge_urls, url_digest
+
+    return url_digest(judge_urls(_read(spark, sf_dir, "pages")))
+
+
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilstream.llm.chat import chat_digest, link_turns
+
+    return chat_digest(link_turns(_read(spark, sf_dir, "conversations")))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilstream.llm.quality import quality_digest, quality_rules
 
@@ -66,6 +78,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from veilstream.llm.chat import chat_sql
     from veilstream.llm.licenses import license_sql
+    from veilstream.llm.urls import url_sql
 
-    return {"op5_licenses": license_sql()}
+    return {"op2_urls": url_sql(), "op3_tool_calls": chat_sql(), "op5_licenses": license_sql()}
