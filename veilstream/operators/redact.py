@@ -7,6 +7,7 @@ Python. A guard skips both passes where the text can hold no hit.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,36 +38,59 @@ def _may_hold(category: str, text: Column) -> Column | None:
     return None
 
 
-def _stage(df: DataFrame, column: str, category: str, pattern: str, valid, replace) -> DataFrame:
-    """Rewrite column; __hits gets the valid hits."""
-    text = F.col(column)
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
+NONE = "array<string>"
+
+
+def _hits_and_gaps(category: str, text: Column, pattern: str) -> Column:
+    """struct(hits, gaps): all matches and the text between them; both passes are skipped where the guard says so."""
     guard = _may_hold(category, text)
-    none = F.array().cast("array<string>")
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     if guard is not None:
-        hits, gaps = F.when(guard, hits).otherwise(none), F.when(guard, gaps).otherwise(F.array(text))
-    df = df.withColumns({"__hits": F.coalesce(hits, none), "__gaps": gaps})
-    put = lambda h: F.when(valid(h), replace(h)).otherwise(h) if valid else replace(h)
-    joined = F.array_join(F.zip_with("__gaps", "__hits", lambda g, h: F.concat(F.coalesce(g, F.lit("")), F.coalesce(put(h), F.lit("")))), "")
-    rewritten = F.when(F.size("__hits") > 0, joined).otherwise(text)
-    return df.withColumns({column: rewritten, "__hits": F.filter("__hits", valid) if valid else F.col("__hits")}).drop("__gaps")
+        hits, gaps = F.when(guard, hits), F.when(guard, gaps)
+    return F.struct(F.coalesce(hits, F.array().cast(NONE)).alias("hits"), F.coalesce(gaps, F.array().cast(NONE)).alias("gaps"))
+
+
+def _rewritten(text: Column, found: Column, valid, put) -> Column:
+    piece = lambda h: F.when(valid(h), put(h)).otherwise(h) if valid else put(h)
+    joined = F.array_join(F.zip_with(found["gaps"], found["hits"], lambda g, h: F.concat(g, F.coalesce(piece(h), F.lit("")))), "")
+    return F.when(F.size(found["hits"]) > 0, joined).otherwise(text)
+
+
+def _redact_stage(state: Column, category: str, pattern: str, valid) -> Column:
+    """state is struct(text, subs, counts); so is the result."""
+    pair = lambda h: F.struct(synthetic_id(category, h).alias("synthetic"), h.alias("real"), F.lit(category).alias("category"))
+
+    def run(s):
+        def fill(f):
+            kept = F.filter(f["hits"], lambda h: valid(h)) if valid else f["hits"]
+            count = F.struct(F.lit(category).alias("key"), F.size(kept).cast("long").alias("value"))
+            return F.struct(
+                _rewritten(s["text"], f, valid, lambda h: synthetic_id(category, h)).alias("text"),
+                F.concat(s["subs"], F.transform(F.reverse(kept), lambda h: pair(h))).alias("subs"),
+                F.concat(s["counts"], F.filter(F.array(count), lambda c: c["value"] > 0)).alias("counts"),
+            )
+
+        return let(_hits_and_gaps(category, s["text"], pattern), fill)
+
+    return let(state, run)
 
 
 def redact(df: DataFrame, text_col: str = "text", policy: Policy = Policy(), custom: tuple[CustomPattern, ...] = (), categories: list[str] | None = None) -> DataFrame:
     """df with redacted, substitutions (synthetic, real, category; stage by stage, right to left), pii_counts,
     pii_count, pii_found and types_found. Null text: null redacted, no substitutions."""
-    out = df.withColumn("redacted", F.col(text_col))
     stages = [(c, java(c), luhn if c == "CC" else None) for c in categories or INGRESS if policy.allows(c)]
     stages += [(c.name, f"(?U){c.regex}", None) for c in custom]
-    found, counts = [], []
-    for n, (category, pattern, valid) in enumerate(stages):
-        out = _stage(out, "redacted", category, pattern, valid, lambda h, c=category: synthetic_id(c, h)).withColumnRenamed("__hits", f"__hits{n}")
-        hits = F.col(f"__hits{n}")
-        found.append(F.transform(F.reverse(hits), lambda h, c=category: F.struct(synthetic_id(c, h).alias("synthetic"), h.alias("real"), F.lit(c).alias("category"))))
-        counts.append(F.struct(F.lit(category).alias("key"), F.size(hits).cast("long").alias("value")))
-    subs = F.concat(*found).cast(SUBS) if found else F.array().cast(SUBS)
-    tally = F.map_from_entries(F.filter(F.array(*counts), lambda x: x["value"] > 0)) if counts else F.create_map().cast("map<string,bigint>")
-    out = out.withColumns({"substitutions": subs, "pii_counts": tally}).drop(*[f"__hits{n}" for n in range(len(stages))])
+    state = F.struct(F.col(text_col).alias("text"), F.array().cast(SUBS).alias("subs"), F.array().cast("array<struct<key:string,value:bigint>>").alias("counts"))
+    for category, pattern, valid in stages:
+        state = _redact_stage(state, category, pattern, valid)
+    out = df.withColumn("__state", state)
+    s = F.col("__state")
+    out = out.withColumns({"redacted": s["text"], "substitutions": s["subs"], "pii_counts": F.map_from_entries(s["counts"])}).drop("__state")
     return out.withColumns(
         {"pii_count": F.size("substitutions").cast("long"), "pii_found": F.size("substitutions") > 0, "types_found": F.array_sort(F.map_keys("pii_counts"))}
     )
@@ -76,31 +100,16 @@ def egress(text: Column, policy: Policy = Policy(), cc_first: bool = False) -> C
     """text with every hit replaced by [REDACTED]. Card numbers come last unless cc_first."""
     order = (["CC"] if cc_first else []) + [c for c in EGRESS if c != "CC" or not cc_first]
     for category in order:
-        if not policy.allows(category):
-            continue
-        if category == "CC":
-            hits, gaps = F.regexp_extract_all(text, F.lit(java("CC")), F.lit(0)), F.split(text, java("CC"), -1)
-            put = lambda g, h: F.concat(g, F.when(h.isNull(), "").when(luhn(h), REDACTED).otherwise(h))
-            text = F.when(text.rlike("[0-9]"), F.array_join(F.zip_with(gaps, hits, put), "")).otherwise(text)
-        else:
-            text = F.regexp_replace(text, java(category), REDACTED.replace("[", "\\[").replace("]", "\\]"))
+        if policy.allows(category):
+            text = let(text, _egress_step(category))
     return text
 
 
-def egress_columns(df: DataFrame, text_col: str, out_col: str = "sanitized", policy: Policy = Policy(), cc_first: bool = False) -> DataFrame:
-    """The same, one column for each step, so that the plan stays in proportion."""
-    out = df.withColumn(out_col, F.col(text_col))
-    order = (["CC"] if cc_first else []) + [c for c in EGRESS if c != "CC" or not cc_first]
-    for category in order:
-        if not policy.allows(category):
-            continue
-        if category == "CC":
-            out = _stage(out, out_col, "CC", java("CC"), luhn, lambda h: F.lit(REDACTED)).drop("__hits")
-        else:
-            guard = _may_hold(category, F.col(out_col))
-            done = F.regexp_replace(out_col, java(category), REDACTED)
-            out = out.withColumn(out_col, F.when(guard, done).otherwise(F.col(out_col)) if guard is not None else done)
-    return out
+def _egress_step(category: str):
+    if category == "CC":
+        return lambda t: let(_hits_and_gaps("CC", t, java("CC")), lambda f: _rewritten(t, f, luhn, lambda h: F.lit(REDACTED)))
+    done = lambda t: F.regexp_replace(t, java(category), REDACTED)
+    return lambda t: done(t) if _may_hold(category, t) is None else F.when(_may_hold(category, t), done(t)).otherwise(t)
 
 
 def unmask(text: Column, subs: Column) -> Column:
@@ -114,13 +123,15 @@ def placeholder(i: Column) -> Column:
     return F.concat(F.lit(MARK), F.translate(i.cast("string"), "0123456789", DIGIT_MARKS), F.lit(STOP))
 
 
-def egress_protected(df: DataFrame, text_col: str, subs_col: str = "substitutions", out_col: str = "sanitized", policy: Policy = Policy()) -> DataFrame:
+def egress_protected(text: Column, subs: Column, policy: Policy = Policy()) -> Column:
     """Unmask, shield the real values of the substitutions, redact what else is found, and put the values back."""
-    marked = F.transform(F.array_distinct(F.transform(subs_col, lambda s: s["real"])), lambda r, i: F.struct(r.alias("real"), placeholder(i).alias("mark")))
-    shielded = F.aggregate("__marked", F.col("__plain"), lambda acc, m: F.replace(acc, m["real"], m["mark"]))
-    out = df.withColumns({"__plain": unmask(F.col(text_col), F.col(subs_col)), "__marked": marked}).withColumn("__shielded", shielded)
-    out = egress_columns(out, "__shielded", out_col, policy)
-    return out.withColumn(out_col, F.aggregate("__marked", F.col(out_col), lambda acc, m: F.replace(acc, m["mark"], m["real"]))).drop("__plain", "__marked", "__shielded")
+    marks = F.transform(F.array_distinct(F.transform(subs, lambda s: s["real"])), lambda r, i: F.struct(r.alias("real"), placeholder(i).alias("mark")))
+
+    def run(m):
+        shielded = F.aggregate(m, unmask(text, subs), lambda acc, x: F.replace(acc, x["real"], x["mark"]))
+        return F.aggregate(m, egress(shielded, policy), lambda acc, x: F.replace(acc, x["mark"], x["real"]))
+
+    return let(marks, run)
 
 
 def unmask_exact(text: str, subs: list[tuple[str, str]]) -> str:
@@ -143,8 +154,6 @@ def unmask_exact(text: str, subs: list[tuple[str, str]]) -> str:
 
 
 def unmask_exact_column(text: Column, subs: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series, lists: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else unmask_exact(t, [(s["synthetic"], s["real"]) for s in (x if x is not None else [])]) for t, x in zip(texts, lists)], dtype=object)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,11 +66,10 @@ ZERO_WIDTH = "\u200b\u200c\u200d\u200e\u200f\ufeff\u2060\u00ad"
 
 
 def normalise(text: Column, nfkc: bool = True) -> Column:
-    """Without invisible characters, in NFKC, in lower case. ASCII texts never leave the JVM's fast path for NFKC."""
+    """Without invisible characters, in NFKC, in lower case. NFKC is an Arrow function: Spark has none built in."""
     stripped = F.translate(text, ZERO_WIDTH, "")
     if not nfkc:
         return F.lower(stripped)
-    import pandas as pd
 
     @F.pandas_udf("string")
     def fold(texts: pd.Series) -> pd.Series:
@@ -82,7 +82,10 @@ def normalise(text: Column, nfkc: bool = True) -> Column:
 
 def blocked_phrase(normalised: Column) -> Column:
     """The first phrase of the list that the text contains."""
-    return F.try_element_at(F.filter(F.array(*map(F.lit, PHRASES)), lambda p: F.contains(normalised, p)), F.lit(1))
+    out = F.when(F.contains(normalised, F.lit(PHRASES[0])), PHRASES[0])
+    for p in PHRASES[1:]:
+        out = out.when(F.contains(normalised, F.lit(p)), p)
+    return out
 
 
 def injection(logits: Column) -> Column:
@@ -102,10 +105,6 @@ def preflight(phrase: Column, injected: Column, text: Column, max_tokens: int, f
 
 def score_with(texts: Column, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Column:
     """Logits of a scorer; ``load`` runs once in each task."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = load()
         for batch in batches:

@@ -16,6 +16,6 @@ def spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    bytes_ = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    split = max(1, int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
+    bytes_ = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = max(1, int(str(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())))
     return df.repartition(cores) if bytes_ < cores * split else df
