@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 K = 3
 MERGE = 4
 #: Least share of a template's k-grams in a span.
-LEAST_SHARE = 0.6
+LEAST_SHARE = 0.75
 #: A span has at most this many times the template's words, and SLACK more.
 MOST_STRETCH = 1.5
 SLACK = 8
