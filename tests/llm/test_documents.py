@@ -5,25 +5,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests_llm_brute import brute_features, brute_verdicts
 from veilstream.llm import langid, licenses, quality
 
 SF = "/root/testdata/sf0.001"
 
 
-def brute_features(text):
-    text = text or ""
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    seen, dup, lines = set(), 0, 0
-    for line in text.split("\n"):
-        if re.search(r"[^\x20\x09-\x0D]", line):
-            dup += line in seen
-            lines += 1
-            seen.add(line)
-    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
-    covered = {j for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, lines, len(covered)
-
-
 EDGES = [None, "", "  \n ", "one", "a b c d e a b c d e", "x " * 50, "a b c d e f\na b c d e f\n\na b", "é#日 |x|\x1cy\x85z", "w1 w2 w3 w4 w5 " * 2 + "w6", "a a a a a a"]
 
 
@@ -34,29 +21,6 @@ def test_features(spark):
         assert quality.text_features(None if text is None else text.encode()) == brute_features(text), text
 
 
-def brute_verdicts(rows):
-    """The rule over (lang, source, text) rows, with the sketches as plain lists."""
-    feats = [dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"), brute_features(t))) for _, _, t in rows]
-    rates = [{n: f[a] * parts // f[b] if f[b] else 0 for n, (a, b, parts, *_) in quality.RATES.items()} for f in feats]
-    failed = [f["n_words"] < 10 or 100 * f["n_repeat_words"] > 20 * f["n_words"] for f in feats]
-    down = lambda v: v >> max(0, v.bit_length() - 6) << max(0, v.bit_length() - 6)
-
-    def at(values, q):
-        return sorted(values)[-(-len(values) * round(100 * q) // 100) - 1]
-
-    out = []
-    for (lang, source, _), rate, bad in zip(rows, rates, failed):
-        for n, (*_, floor, ceiling) in quality.RATES.items():
-            pools = [[down(r[n]) for r, row, f in zip(rates, rows, failed) if not f and test(row)] for test in (lambda x: x[:2] == (lang, source), lambda x: x[0] == lang, lambda x: True)]
-            if not pools[0]:
-                continue
-            pool = next((p for p in pools[:2] if len(p) >= quality.MIN_GROUP), pools[2])
-            low, high = at(pool, quality.LOWER), at(pool, quality.UPPER)
-            bad = bad or rate[n] > max(floor, high + quality.WIDTH * (high - low)) or (ceiling is not None and rate[n] < min(ceiling, low - quality.WIDTH * (high - low)))
-        out.append(not bad)
-    return out
-
-
 def test_quality_rules(spark, monkeypatch):
     monkeypatch.setattr(quality, "MIN_GROUP", 8)
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).select("lang", (F.col("doc_id") % 2).cast("string").alias("source"), "text").collect()

@@ -213,7 +213,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (u, v); root is the smallest node that it can reach."""
+    """(node, root) for every node of the edges (u, v) but the roots; root is the smallest node that it can reach."""
     edges = materialise(edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u != v").distinct(), "edges")
     state = None
     for _ in range(MAX_ROUNDS):
