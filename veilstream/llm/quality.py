@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilstream.llm.texts import with_text
 from veilstream.session import materialise, ship_package
 
 WINDOW = 5
@@ -91,13 +92,13 @@ def base_features(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
     clash = {f.split()[0] for f in FEATURES.split(", ")} & set(keep)
     if clash:
         raise ValueError(f"rename {sorted(clash)} first")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").cast("binary").alias("__text"))
+    rows, text_of = with_text(docs, text_col, keep)
     names = [f.split()[0] for f in FEATURES.split(", ")]
 
     def features(batches):
         for batch in batches:
-            found = np.array([text_features(t.as_py()) for t in batch.column(batch.num_columns - 1)], dtype=np.int64).reshape(-1, len(names))
-            arrays = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(found[:, i].copy()) for i in range(len(names))]
+            found = np.array([text_features(t.as_py()) for t in text_of(batch)], dtype=np.int64).reshape(-1, len(names))
+            arrays = [*batch.columns[: len(keep)]] + [pa.array(found[:, i].copy()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema)
@@ -189,6 +190,45 @@ def filter_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     lean = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     fences = materialise(thresholds(sketches(with_rates(base_features(lean, keep=["lang", "source"])))), "fences")
     names = docs.columns
-    shut = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    judged = judge(with_rates(base_features(shut, keep=["__doc", "lang", "source"])), fences)
+    shut = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
+    judged = judge(with_rates(base_features(shut, text_col=f"__doc.{text_col}", keep=["__doc", "lang", "source"])), fences)
     return judged.where("kept").select(*[F.col(f"__doc.`{c}`").alias(c) for c in names])
+
+
+def quality_sql() -> str:
+    """The same in DuckDB SQL."""
+    rates = {n: f"CASE WHEN {b} > 0 THEN {a} * {parts} // {b} ELSE 0 END" for n, (a, b, parts, *_) in RATES.items()}
+    long = " UNION ALL ".join(f"SELECT lang, source, '{n}' AS rate, {n} AS v FROM r WHERE NOT base_failed" for n in RATES)
+
+    def stats(name: str, by: str) -> str:
+        keys = f"{by}, " if by else ""
+        at = lambda q: f"min(CASE WHEN upto * 100 >= n * {round(100 * q)} THEN bin END)"
+        return f"""{name} AS (SELECT {keys}rate, max(n) AS n, {at(LOWER)} AS low, {at(UPPER)} AS high FROM (
+    SELECT {keys}rate, bin, sum(c) OVER (PARTITION BY {keys}rate ORDER BY bin) AS upto, sum(c) OVER (PARTITION BY {keys}rate) AS n
+    FROM (SELECT {keys}rate, bin, count(*) AS c FROM b GROUP BY ALL)) GROUP BY ALL)"""
+
+    upper = " ".join(f"WHEN '{n}' THEN {floor}" for n, (*_, floor, _) in RATES.items())
+    lower = " ".join(f"WHEN '{n}' THEN {ceiling}" for n, (*_, ceiling) in RATES.items() if ceiling is not None)
+    values = " ".join(f"WHEN '{n}' THEN r.{n}" for n in RATES)
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
+g AS (SELECT rid, i, array_to_string(words[i : i + {WINDOW - 1}], ' ') AS gram FROM (SELECT rid, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w WHERE len(words) > {WINDOW})),
+d AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+c AS (SELECT rid, count(DISTINCT i + k) AS n FROM d, range({WINDOW}) AS o(k) GROUP BY rid),
+f AS (SELECT w.rid, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+    FROM w LEFT JOIN c ON c.rid = w.rid),
+r AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {', '.join(f'{x} AS {n}' for n, x in rates.items())} FROM f),
+b AS (SELECT lang, source, rate, (v >> greatest(0, length(bin(v)) - 6)) << greatest(0, length(bin(v)) - 6) AS bin FROM ({long})),
+{stats('fine', 'lang, source')},
+{stats('coarse', 'lang')},
+{stats('whole', '')},
+p AS (SELECT fine.lang, fine.source, fine.rate, CASE WHEN fine.n >= {MIN_GROUP} THEN fine.low WHEN coarse.n >= {MIN_GROUP} THEN coarse.low ELSE whole.low END AS low,
+    CASE WHEN fine.n >= {MIN_GROUP} THEN fine.high WHEN coarse.n >= {MIN_GROUP} THEN coarse.high ELSE whole.high END AS high
+    FROM fine JOIN coarse ON coarse.lang IS NOT DISTINCT FROM fine.lang AND coarse.rate = fine.rate JOIN whole ON whole.rate = fine.rate),
+q AS (SELECT lang, source, rate, greatest(CASE rate {upper} END, high + {WIDTH} * (high - low)) AS upper, CASE WHEN rate IN ({', '.join(f"'{n}'" for n, x in RATES.items() if x[4] is not None)}) THEN least(CASE rate {lower} END, low - {WIDTH} * (high - low)) END AS lower FROM p),
+x AS (SELECT r.rid, bool_or(coalesce(CASE q.rate {values} END > q.upper, false) OR coalesce(CASE q.rate {values} END < q.lower, false)) AS bad
+    FROM r JOIN q ON q.lang IS NOT DISTINCT FROM r.lang AND q.source IS NOT DISTINCT FROM r.source GROUP BY r.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, false) AS kept FROM r LEFT JOIN x ON x.rid = r.rid"""

@@ -80,6 +80,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from veilstream.llm.chat import chat_sql
     from veilstream.llm.licenses import license_sql
+    from veilstream.llm.quality import quality_sql
     from veilstream.llm.urls import url_sql
 
-    return {"op2_urls": url_sql(), "op3_tool_calls": chat_sql(), "op5_licenses": license_sql()}
+    return {"op2_urls": url_sql(), "op3_tool_calls": chat_sql(), "op4_quality": quality_sql(), "op5_licenses": license_sql()}
