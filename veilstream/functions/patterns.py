@@ -25,6 +25,8 @@ APIKEYS = [
     r"npm_[a-zA-Z0-9]{36}",
     r"pypi-[a-zA-Z0-9_-]{16,}",
 ]
+#: Every key holds one of these.
+KEY_PREFIXES = ["sk-", "AKIA", "ghp_", "gho_", "ghs_", "ghr_", "github_pat_", "glpat-", "k_live_", "k_test_", "xox", "AIza", "SK", "SG.", "key-", "npm_", "pypi-"]
 PHONE = r"(?:\+?\d{1,3}[-.\s]?\(?\d{2,3}\)?[-.\s]?\d{3,4}[-.\s]?\d{4}|\(\d{3}\)\s?\d{3}[-.\s]?\d{4})"
 SSN = r"(?:\b\d{3}-\d{2}-\d{4}\b|\b\d{9}\b|\b[A-CEGHJ-PR-TW-Z]{2}\d{6}[A-D]\b)"
 SYNTHETIC_ID = r"(EMAIL|CC|IP|SSN|APIKEY)_[a-f0-9]{8}"

@@ -18,7 +18,7 @@ FAMILY = ["Adler", "Berger", "Costa", "Dupont", "Evans", "Fischer", "Garcia", "H
 
 def distinct_values(redacted: DataFrame, order_col: str, subs_col: str = "substitutions") -> DataFrame:
     """real, real_hash, category: each value once, with the category of its first appearance (order_col, then place)."""
-    found = redacted.select(F.col(order_col).alias("__order"), F.posexplode(subs_col).alias("__at", "s"))
+    found = redacted.select(F.col(order_col).alias("__order"), F.posexplode_outer(subs_col).alias("__at", "s")).where("s is not null")
     first = found.groupBy(F.col("s.real").alias("real")).agg(F.min_by("s.category", F.struct("__order", "__at")).alias("category"))
     return first.withColumn("real_hash", F.sha2("real", 256))
 

@@ -11,13 +11,14 @@ AUDITED = ["EMAIL", "CC", "IP", "SSN", "APIKEY", "PHONE", "PER"]
 
 def category_counts(redacted: DataFrame) -> DataFrame:
     """category, n_texts, n over all texts."""
-    long = redacted.select(F.explode("pii_counts").alias("category", "n"))
+    # An outer explode computes the map once; an inner one would test its size first.
+    long = redacted.select(F.explode_outer("pii_counts").alias("category", "n")).where("category is not null")
     return long.groupBy("category").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n"))
 
 
 def merged_counts(redacted: DataFrame, key: str) -> DataFrame:
     """Counts of the texts of one key, added up by category."""
-    return redacted.select(key, F.explode("pii_counts").alias("category", "n")).groupBy(key, "category").agg(F.sum("n").alias("n"))
+    return redacted.select(key, F.explode_outer("pii_counts").alias("category", "n")).where("category is not null").groupBy(key, "category").agg(F.sum("n").alias("n"))
 
 
 def audit(redacted: DataFrame, key: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Redaction stages over a text column, in built-in expressions.
 
 Every stage looks at the text that the one before has rewritten. The text is split at the pattern, the hits are
-replaced, and both are put together again, so one stage costs two regular-expression passes and no
-Python. A guard skips both passes where the text can hold no hit.
+replaced, and both are put together again, so one stage costs one regular-expression pass, a second where there are hits, and no
+Python. A guard skips both where the text can hold no hit.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilstream.config import CustomPattern, Policy
-from veilstream.functions.patterns import EGRESS, INGRESS, java
+from veilstream.functions.patterns import EGRESS, INGRESS, KEY_PREFIXES, java
 from veilstream.functions.scalars import luhn, synthetic_id
 
 REDACTED = "[REDACTED]"
 SUBS = "array<struct<synthetic:string,real:string,category:string>>"
-#: A text without these can hold no hit.
-GUARDS = {"EMAIL": "@", "CC": None, "IP": ".", "APIKEY": None, "PHONE": None, "SSN": None}
+#: A text without any of these can hold no hit.
+GUARDS = {"EMAIL": ["@"], "APIKEY": KEY_PREFIXES}
 DIGITS = {"CC", "IP", "PHONE", "SSN"}
 #: Private-use characters stand in for protected values: no pattern matches them.
 MARK, STOP, DIGIT_MARKS = "\ue000", "\ue001", "".join(map(chr, range(0xE010, 0xE01A)))
@@ -31,11 +31,12 @@ def find(category: str, text: Column, pattern: str | None = None) -> Column:
 
 
 def _may_hold(category: str, text: Column) -> Column | None:
-    if GUARDS.get(category):
-        return F.contains(text, F.lit(GUARDS[category]))
     if category in DIGITS:
-        return text.rlike("[0-9]") if category != "PHONE" else text.rlike(r"(?U)\d")
-    return None
+        return text.rlike(r"(?U)\d")
+    out = None
+    for part in GUARDS.get(category, []):
+        out = F.contains(text, F.lit(part)) if out is None else out | F.contains(text, F.lit(part))
+    return out
 
 
 def let(value: Column, body) -> Column:
@@ -49,10 +50,10 @@ NONE = "array<string>"
 def _hits_and_gaps(category: str, text: Column, pattern: str) -> Column:
     """struct(hits, gaps): all matches and the text between them; both passes are skipped where the guard says so."""
     guard = _may_hold(category, text)
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    if guard is not None:
-        hits, gaps = F.when(guard, hits), F.when(guard, gaps)
-    return F.struct(F.coalesce(hits, F.array().cast(NONE)).alias("hits"), F.coalesce(gaps, F.array().cast(NONE)).alias("gaps"))
+    hits, none = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast(NONE)
+    # Only a text with hits is split.
+    gaps = lambda h: F.when(F.size(h) > 0, F.split(text, pattern, -1)).otherwise(none)
+    return let(F.coalesce(hits if guard is None else F.when(guard, hits), none), lambda h: F.struct(h.alias("hits"), gaps(h).alias("gaps")))
 
 
 def _rewritten(text: Column, found: Column, valid, put) -> Column:

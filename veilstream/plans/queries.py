@@ -12,6 +12,7 @@ from veilstream.functions import scalars as X
 from veilstream.functions.patterns import re2
 from veilstream.operators import limits, mapping, messages, metrics, ner, notice, redact, shield
 from veilstream.plans import sql as Q
+from veilstream.session import materialise
 from veilstream.sources.tables import read_table, spread
 from veilstream.streaming.unredact import unredact_batch
 
@@ -198,7 +199,8 @@ def mapping_build(spark, d):
 @query(f"WITH {Q.stages('documents', 'doc_id', ADDED_DOC, CUSTOM)}, {_first} SELECT v.doc_id, v.real, m.category || '_' || substr(sha256(v.real), 1, 8) AS synthetic, count(*) AS n FROM v JOIN m ON m.real = v.real GROUP BY ALL")
 def mapping_join(spark, d):
     """Every value of every text with its global synthetic value."""
-    made = _redaction(spark, d, "documents", ["doc_id"], ADDED_DOC).select("doc_id", "substitutions")
+    # Both sides of the join need the substitutions: they are written once, without the texts.
+    made = materialise(_redaction(spark, d, "documents", ["doc_id"], ADDED_DOC).select("doc_id", "substitutions"), "substitutions")
     found = made.select("doc_id", F.explode(F.transform("substitutions", lambda s: s["real"])).alias("real")).groupBy("doc_id", "real").agg(F.count("*").alias("n"))
     values = mapping.with_synthetic(mapping.distinct_values(made, "doc_id")).select("real_hash", "synthetic")
     return mapping.apply_mapping(found.withColumn("real_hash", F.sha2("real", 256)), values).select("doc_id", "real", "synthetic", "n")
