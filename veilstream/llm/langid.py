@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax.
 
 A text is its letters, lower-cased, other characters counting as one gap. Its subwords are all 1- to 4-grams of
-letters and gaps within words (a gap at either end at most), hashed into BUCKETS rows of an embedding
+letters within words, with a gap at one end at most, hashed into BUCKETS rows of an embedding
 table. The mean of the rows goes through a linear softmax. Table and weights are trained together by
 stochastic gradient descent in numpy.
 
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilstream.llm.texts import with_text
 from veilstream.session import ship_package
 
 #: Most labelled rows that a fit takes, over all languages.
@@ -193,7 +194,7 @@ def fit(sample: list[tuple[bytes, str]], seed: int = SEED) -> LanguageModel:
 def _calibrate(model: LanguageModel, held: list) -> None:
     logits = np.array([share @ model.table[b] + model.bias for b, share, _ in held], dtype=np.float64)
     y = np.array([e[2] for e in held])
-    grid = np.geomspace(0.05, 20, 61)
+    grid = np.geomspace(0.5, 20, 61)
     loss = [-np.log(_softmax(logits / t)[np.arange(len(y)), y] + 1e-300).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
     p = _softmax(logits / model.temperature)
@@ -211,12 +212,12 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
         raise ValueError("rename lang_pred, score or rejected first")
     shared = spark.sparkContext.broadcast(model)
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").cast("binary").alias("__text"))
+    rows, text_of = with_text(docs, text_col, keep)
 
     def judge(batches):
         for batch in batches:
-            lang, score, rejected = shared.value.predict(batch.column(batch.num_columns - 1).to_pylist())
-            arrays = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)]
+            lang, score, rejected = shared.value.predict(text_of(batch).to_pylist())
+            arrays = [*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "lang_pred", "score", "rejected"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
@@ -238,6 +239,6 @@ def filter_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents whose language is told with confidence, with their columns as they are."""
     model = fit(labelled_sample(docs.where(~held_out(id_col)), id_col, text_col, lang_col))
     names = docs.columns
-    shut = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.col(text_col).alias("text"))
-    judged = identify(shut, model, keep=["__doc"])
+    shut = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"))
+    judged = identify(shut, model, text_col=f"__doc.{text_col}", keep=["__doc"])
     return judged.where("not rejected").select(*[F.col(f"__doc.`{c}`").alias(c) for c in names])
