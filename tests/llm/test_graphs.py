@@ -90,6 +90,31 @@ def test_long_chains_are_ordered(spark):
     assert all(r.level == r.turn // 2 and r.valid for r in got)
 
 
+def test_levels_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    needs = {}
+    for conv in range(6):
+        for i in range(40):
+            most = [0, 1, 1, 1, 2, 3][int(rng.integers(0, 6))]
+            needs[conv, f"c{i}"] = [f"c{j}" for j in rng.choice(max(1, i), most)] if i else []
+    for i in range(40):
+        needs[6, f"c{i}"] = [f"c{i - 1}"] if i else []
+    needs[7, "a"], needs[7, "b"], needs[7, "c"], needs[7, "d"], needs[7, "e"] = ["b"], ["a"], ["b"], ["c", "e"], []
+    level = {}
+
+    def find(key, seen=()):
+        if key in seen:
+            return None
+        if key not in level:
+            up = [find((key[0], n), (*seen, key)) for n in needs[key]]
+            level[key] = None if None in up else max(up, default=-1) + 1
+        return level[key]
+
+    want = {k: v for k in needs if (v := find(k)) is not None}
+    calls = spark.createDataFrame([(*k, v) for k, v in needs.items()], "conv_id long, call_id string, depends_on array<string>")
+    assert {(r.conv_id, r.call_id): r.level for r in chat.levels(calls).collect()} == want
+
+
 def test_chat_plan_is_native(spark):
     plan = chat.link_turns(spark.read.parquet(f"{SF}/conversations.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct", plan)

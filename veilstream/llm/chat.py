@@ -1,8 +1,8 @@
 """Tool-call linking, in DataFrame functions alone.
 
 Calls and results are joined by (conversation, call id). A call may depend on other calls of its conversation; its level is
-one more than the highest of those, so ascending (level, turn) is a topological order. Levels are found
-round by round for all conversations at once; calls that never get one stand in a cycle. Arguments are
+one more than the highest of those, so ascending (level, turn) is a topological order. Levels are found for
+all conversations at once, by pointer doubling; calls that never get one stand behind a cycle. Arguments are
 validated against the fields of their tool, and a call is serialised as canonical JSON: keys sorted at every
 depth, no white space, numbers as JSON numbers.
 
@@ -11,7 +11,8 @@ No conversation is gathered in one task: all joins are by call id.
 Defined results: a call without a result is ``unanswered``; a result without a call is ``orphan`` and has no level; calls and results
 that repeat an id in a conversation count once, the first turn's (then the least) stays, with ``copies`` telling how
 many there were; null arguments and text that is no JSON object are invalid; unknown tools are
-invalid; dependencies on calls that don't exist are ignored; empty tables give no rows.
+invalid; dependencies on calls that don't exist are ignored; calls of a conversation without an id are linked to nothing and have no level; empty tables
+give no rows.
 """
 
 from __future__ import annotations
@@ -73,36 +74,46 @@ def _once(df: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level of the calls (conv_id, call_id, depends_on) that stand in no cycle.
+    """conv_id, call_id, level of the calls (conv_id, call_id, depends_on) that stand behind no cycle.
 
-    A round for each level; every round is written, so the plan doesn't grow.
+    Calls with one dependency form chains; they find the head of their chain (a call with no dependency or several)
+    by doubling their pointers, so a chain of n calls takes log2(n) rounds. Calls with several dependencies
+    then take their levels in turn, a round for each layer of such calls alone. Every round is written.
     """
-    nodes = materialise(calls.select("conv_id", "call_id"), "calls")
-    wants = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("needs"))
-    edges = wants.join(nodes.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"])
-    # conv_id may be null: such calls belong to one conversation without an id, whose links equality doesn't join.
-    edges = materialise(edges.select("conv_id", "call_id", "needs"), "needs")
-    held = edges.select("conv_id", "call_id").distinct()
-    done = nodes.join(held, _same(nodes, held), "left_anti").withColumn("level", F.lit(0))
-    fresh, level, parts = materialise(done, "level"), 0, []
-    parts.append(fresh)
-    while not fresh.isEmpty():
-        # Satisfied edges go; a call with none left is next.
-        met = fresh.select("conv_id", F.col("call_id").alias("needs"))
-        left = materialise(edges.join(met, ["conv_id", "needs"], "left_anti"), "needs")
-        touched = edges.join(met, ["conv_id", "needs"], "left_semi").select("conv_id", "call_id").distinct()
-        level += 1
-        ready = touched.join(left.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-        fresh, edges = materialise(ready.withColumn("level", F.lit(level)), "level"), left
-        parts.append(fresh)
-    out = parts[0]
-    for p in parts[1:-1]:
-        out = out.union(p)
-    return out
-
-
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["conv_id"].eqNullSafe(b["conv_id"]) & a["call_id"].eqNullSafe(b["call_id"])
+    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("needs"))
+    edges = materialise(edges.join(calls.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"]), "needs")
+    wants = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("needs").alias("only"))
+    one = F.coalesce(F.col("n") == 1, F.lit(False))
+    state = calls.select("conv_id", "call_id").join(wants, ["conv_id", "call_id"], "left").select(
+        "conv_id", "call_id", F.when(one, F.col("only")).otherwise(F.col("call_id")).alias("head"), one.cast("long").alias("far"),
+        (~one).alias("done"), F.col("n").isNull().alias("free"),
+    )
+    state, open_calls = materialise(state, "heads"), None
+    while True:
+        left = state.where("not done").count()
+        # A round that settles no call leaves only those behind a cycle.
+        if not left or left == open_calls:
+            break
+        open_calls = left
+        at = state.select("conv_id", F.col("call_id").alias("head"), F.col("head").alias("up"), F.col("far").alias("more"), F.col("done").alias("settled"))
+        moved = state.where("not done").join(at, ["conv_id", "head"]).select("conv_id", "call_id", F.col("up").alias("head"), (F.col("far") + F.col("more")).alias("far"), F.col("settled").alias("done"), "free")
+        state = materialise(state.where("done").unionByName(moved), "heads")
+
+    settled = state.where("done")
+    known = settled.where("free").select("conv_id", F.col("call_id").alias("head"), F.lit(0).cast("long").alias("level"))
+    several = settled.where("head = call_id and not free").select("conv_id", "call_id")
+    if not several.isEmpty():
+        known = materialise(known, "levels")
+        reach = state.select("conv_id", F.col("call_id").alias("needs"), F.when(F.col("done"), F.col("head")).alias("head"), (F.col("far") + 1).alias("far"))
+        todo = materialise(edges.join(several, ["conv_id", "call_id"], "left_semi").join(reach, ["conv_id", "needs"]), "several")
+        while True:
+            tried = todo.join(known, ["conv_id", "head"], "left").groupBy("conv_id", "call_id").agg(F.max(F.col("level") + F.col("far")).alias("level"), F.sum(F.col("level").isNull().cast("int")).alias("missing"))
+            fresh = materialise(tried.where("missing = 0").select("conv_id", F.col("call_id").alias("head"), "level"), "levels")
+            if fresh.isEmpty():
+                break
+            known = materialise(known.unionByName(fresh), "levels")
+            todo = materialise(todo.join(fresh.select("conv_id", F.col("head").alias("call_id")), ["conv_id", "call_id"], "left_anti"), "several")
+    return settled.join(known, ["conv_id", "head"]).select("conv_id", "call_id", (F.col("level") + F.col("far")).alias("level"))
 
 
 def tool_schemas(spark: SparkSession, tools: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
