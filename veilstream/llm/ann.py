@@ -136,7 +136,16 @@ def best_in_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarra
     return q[near], ids[v[near]], exact[near]
 
 
+def _packed(rows: np.ndarray) -> pa.Array:
+    """Rows of doubles as binary values: Spark copies those whole, arrays element by element."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(8 * rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows.astype("<f8").tobytes())])
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """The vectors of a column of arrays or of packed doubles."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, dim)
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
 
 
@@ -158,7 +167,7 @@ def _pairs(q_ids, q, ids, scores) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
 
-def exact_neighbours(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = NEIGHBOURS) -> DataFrame:
+def exact_neighbours(vectors: DataFrame, queries: list[tuple[int, np.ndarray]], k: int = NEIGHBOURS) -> DataFrame:
     """The true k nearest of a bounded list of queries, against all vectors in blocks."""
     shared = vectors.sparkSession.sparkContext.broadcast((np.array([q[0] for q in queries]), np.array([q[1] for q in queries], dtype=np.float64)))
 
@@ -174,7 +183,7 @@ def exact_neighbours(vectors: DataFrame, queries: list[tuple[int, list[float]]],
 
 
 class TreeIndex:
-    """A fitted tree, all vectors with their leaves, the vectors in each leaf, and the calibrated number of visits."""
+    """A fitted tree, all vectors (packed) with their leaves, the vectors in each leaf, and the calibrated number of visits."""
 
     def __init__(self, tree: KMeansTree, dim: int, placed: DataFrame, counts: dict[int, int]):
         self.tree, self.dim, self.placed, self.counts, self.visits, self.recall = tree, dim, placed, counts, tree.n_leaves, 1.0
@@ -188,40 +197,44 @@ class TreeIndex:
         if not n:
             return None
         drawn = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, fit_rows / n))))
-        rows = drawn.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("vec").collect() or vectors.limit(1).select("vec").collect()
-        sample = np.array([r[0] for r in rows])
-        tree, dim = KMeansTree(sample, leaf_rows=leaf_rows), sample.shape[1]
+        rows = drawn.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("vec").toArrow()
+        if not rows.num_rows:
+            rows = vectors.limit(1).select("vec").toArrow()
+        dim = len(rows.column("vec")[0])
+        sample = np.concatenate([_matrix(c, dim) for c in rows.column("vec").chunks])
+        tree = KMeansTree(sample, leaf_rows=leaf_rows)
         shared = spark.sparkContext.broadcast(tree)
 
         def place(batches):
             for batch in batches:
-                leaf = shared.value.assign(_matrix(batch.column(1), dim)) if batch.num_rows else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column(0), batch.column(1)], names=["leaf", "id", "vec"])
+                rows = _matrix(batch.column(1), dim)
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value.assign(rows)), batch.column(0), _packed(rows)], names=["leaf", "id", "vec"])
 
-        placed = materialise(vectors.select("id", "vec").mapInArrow(place, "leaf int, id long, vec array<double>"), "placed")
+        placed = materialise(vectors.select("id", "vec").mapInArrow(place, "leaf int, id long, vec binary"), "placed")
         # One row for each leaf of the bounded tree.
         counts = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
         return cls(tree, dim, placed, counts)
 
     def calibrate(self, queries: DataFrame, k: int = NEIGHBOURS, target: float = TARGET, most: int = CALIBRATION) -> None:
         """Widen the visits until ``target`` of the sample's true neighbours lie in visited leaves."""
-        sample = [(r[0], list(r[1])) for r in queries.orderBy(F.xxhash64("id"), "id").limit(most).select("id", "vec").collect()]
+        drawn = queries.orderBy(F.xxhash64("id"), "id").limit(most).select("id", "vec").toArrow()
+        sample = [(q, v) for b in drawn.to_batches() for q, v in zip(b.column(0).to_pylist(), _matrix(b.column(1), self.dim))]
         if not sample:
             return
         truth = exact_neighbours(self.placed, sample, k)
         found = truth.join(self.placed.select(F.col("id").alias("vec_id"), "leaf"), "vec_id").select("query_id", "leaf").collect()
-        order = {q: {leaf: i for i, leaf in enumerate(self.tree.leaves(np.array(v)))} for q, v in sample}
+        order = {q: {leaf: i for i, leaf in enumerate(self.tree.leaves(v))} for q, v in sample}
         ranks = np.sort([order[r["query_id"]][r["leaf"]] for r in found])
         if len(ranks):
             self.visits = int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)]) + 1
             self.recall = float((ranks < self.visits).mean())
 
     def search(self, queries: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-        """query_id, rank, vec_id, score: the k nearest found of every query (columns id, vec)."""
+        """query_id, rank, vec_id, score: the k nearest found of every query (columns id, vec: doubles, packed or not)."""
         tree, dim, counts, visits = self.tree, self.dim, self.counts, self.visits
         cuts = {leaf: -(-n // BLOCK) for leaf, n in counts.items()}
         shared = queries.sparkSession.sparkContext.broadcast((tree, counts, cuts, visits))
-        fields = "leaf int, cut int, kind int, id long, vec array<double>"
+        fields = "leaf int, cut int, kind int, id long, vec binary"
 
         def deal_vectors(batches):
             cuts = shared.value[2]
@@ -235,7 +248,9 @@ class TreeIndex:
             tree, counts, cuts, visits = shared.value
             for batch in batches:
                 at, leaf, cut = [], [], []
-                for i, q in enumerate(_matrix(batch.column(1), dim)):
+                rows = _matrix(batch.column(1), dim)
+                ids, vecs = batch.column(0), _packed(rows)
+                for i, q in enumerate(rows):
                     seen = 0
                     for n, x in enumerate(tree.leaves(q)):
                         # The answer needs k candidates beside the query's own row.
@@ -247,14 +262,14 @@ class TreeIndex:
                             leaf.append(x)
                             cut.append(c)
                     if len(at) > 1 << 14:
-                        yield _dealt(batch, at, leaf, cut)
+                        yield _dealt(ids, vecs, at, leaf, cut)
                         at, leaf, cut = [], [], []
                 if at:
-                    yield _dealt(batch, at, leaf, cut)
+                    yield _dealt(ids, vecs, at, leaf, cut)
 
-        def _dealt(batch, at, leaf, cut):
+        def _dealt(ids, vecs, at, leaf, cut):
             rows = pa.array(at)
-            return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(cut, pa.int32()), pa.array(np.ones(len(at), np.int32)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["leaf", "cut", "kind", "id", "vec"])
+            return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(cut, pa.int32()), pa.array(np.ones(len(at), np.int32)), ids.take(rows), vecs.take(rows)], names=["leaf", "cut", "kind", "id", "vec"])
 
         vectors = self.placed.select("leaf", "id", "vec").mapInArrow(deal_vectors, fields)
         asked = queries.select("id", "vec").dropDuplicates(["id"]).mapInArrow(deal_queries, fields)
