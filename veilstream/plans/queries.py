@@ -117,11 +117,14 @@ def egress_documents(spark, d):
     return df.select("doc_id", redact.egress(F.col("__text")).alias("sanitized"))
 
 
-@query(f"SELECT doc_id, {ADDED_DOC} || {Q.quoted(NEW_MAIL.replace('someone.new@mail.example.com', '[REDACTED]'))} AS sanitized FROM documents WHERE doc_id % 3 = 0 AND regexp_matches(text, '[0-9@]')")
+# For texts with digits or addresses of every third id alone: the tests hold the query to it there, and to plain Python on the whole table.
+EGRESS_PROTECTED_PART = f"SELECT doc_id, {ADDED_DOC} || {Q.quoted(NEW_MAIL.replace('someone.new@mail.example.com', '[REDACTED]'))} AS sanitized FROM documents WHERE doc_id % 3 = 0 AND regexp_matches(text, '[0-9@]')"
+
+
+@query(None)
 def egress_protected(spark, d):
-    """Answers that repeat the redacted prompt and add an address of their own, for texts with digits or addresses."""
-    docs = read_table(spark, d, "documents").where("doc_id % 3 = 0 AND text rlike '[0-9@]'")
-    made = redact.redact(spread(docs.select("doc_id", _added().alias("__text"))), "__text", custom=CUSTOM_PATTERNS)
+    """Answers that repeat the redacted prompt and add an address of their own, for every text."""
+    made = redact.redact(_documents(spark, d).select("doc_id", _added().alias("__text")), "__text", custom=CUSTOM_PATTERNS)
     answers = made.select("doc_id", "substitutions", F.concat("redacted", F.lit(NEW_MAIL)).alias("answer"))
     return answers.select("doc_id", redact.egress_protected(F.col("answer"), F.col("substitutions")).alias("sanitized"))
 
