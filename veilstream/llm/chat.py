@@ -11,8 +11,9 @@ No conversation is gathered in one task: all joins are by call id.
 Defined results: a call without a result is ``unanswered``; a result without a call is ``orphan`` and has no level; calls and results
 that repeat an id in a conversation count once, the first turn's (then the least) stays, with ``copies`` telling how
 many there were; null arguments and text that is no JSON object are invalid; unknown tools are
-invalid; dependencies on calls that don't exist are ignored; calls of a conversation without an id are linked to nothing and have no level; empty tables
-give no rows.
+invalid; dependencies on calls that don't exist are ignored; calls of a conversation without an id are linked to nothing and have no level; in
+``link_turns``, calls and results without an id or that are no JSON object, calls that are not closed, and user and assistant messages
+without a turn are ``unlinked``, a row for each; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -67,6 +68,28 @@ def calls_from_turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls.where("turn is not null"), messages.where("role = 'assistant' and turn is not null").select("conv_id", "turn", key(1).alias("call_id"), F.col("text").alias("content"))
 
 
+def unlinked(messages: DataFrame) -> DataFrame:
+    """One row for everything that has no key to be linked by, as link_tool_calls gives them.
+
+    Errors: ``no object`` (a call or result that is no JSON object), ``no id`` (an object without one), ``not closed`` (a
+    call without its end) and ``no turn`` (a user or assistant message). ``json`` has what was found, as ``body``.
+    """
+    is_object = F.coalesce(F.regexp_extract(F.schema_of_variant(F.try_parse_json("body")), r"^[A-Z]+", 0) == "OBJECT", F.lit(False))
+    error = F.when(is_object, "no id").otherwise("no object")
+    at = ["conv_id", "turn"]
+    calls = messages.select(*at, F.explode(F.regexp_extract_all("text", F.lit(CALL), F.lit(1))).alias("body"))
+    calls = calls.where(F.get_json_object("body", "$.id").isNull()).withColumn("error", error)
+    results = messages.where("role = 'tool'").select(*at, F.col("text").alias("body"))
+    results = results.where(F.get_json_object("body", "$.tool_call_id").isNull()).withColumn("error", error)
+    rest = messages.select(*at, F.regexp_extract(F.regexp_replace("text", CALL, ""), r"(?s)<tool_call>(.*)", 0).alias("body"))
+    turnless = messages.where("role in ('user', 'assistant') and turn is null").select(*at, F.col("text").alias("body"), F.lit("no turn").alias("error"))
+    rows = calls.unionByName(results).unionByName(rest.where("body <> ''").withColumn("error", F.lit("not closed"))).unionByName(turnless)
+    return rows.select(
+        "conv_id", F.lit(None).cast("string").alias("call_id"), "turn", F.lit(None).cast("long").alias("level"), F.lit("unlinked").alias("status"),
+        F.array("error").alias("errors"), F.lit(False).alias("valid"), F.to_json(F.struct("body")).alias("json"), F.lit(1).cast("long").alias("copies"),
+    )
+
+
 def _once(df: DataFrame, fields: list[str]) -> DataFrame:
     """One row for each (conv_id, call_id): the least by turn and then by the fields."""
     least = df.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", *fields)).alias("x"), F.count("*").alias("copies"))
@@ -155,12 +178,13 @@ TURN_TOOLS = {"reply": {"turn": ("integer", True), "text": ("string", True), "n_
 
 
 def link_turns(messages: DataFrame) -> DataFrame:
-    """Markup calls and turn calls of a table of conversations, linked; ids of markup calls get the prefix ``tool-``."""
+    """Markup calls and turn calls of a table of conversations, linked, and what has no key; ids of markup calls get the prefix ``tool-``."""
     asked, said = calls_from_turns(messages)
     marked, answered = calls_from_markup(messages)
     prefix = F.concat(F.lit("tool-"), "call_id")
     marked = marked.withColumns({"call_id": prefix, "depends_on": F.transform("depends_on", lambda x: F.concat(F.lit("tool-"), x))})
-    return link_tool_calls(asked.unionByName(marked), said.unionByName(answered.withColumn("call_id", prefix)), tool_schemas(messages.sparkSession, TURN_TOOLS))
+    linked = link_tool_calls(asked.unionByName(marked), said.unionByName(answered.withColumn("call_id", prefix)), tool_schemas(messages.sparkSession, TURN_TOOLS))
+    return linked.unionByName(unlinked(messages))
 
 
 def chat_digest(linked: DataFrame) -> DataFrame:
