@@ -18,6 +18,8 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "3g")
+        # Without this a stream with time-outs runs empty batches for ever.
+        .config("spark.sql.streaming.noDataMicroBatches.enabled", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -47,7 +47,7 @@ def strip_notice(text: Column) -> Column:
     state = F.struct(F.lit(False).alias("block"), F.array().cast("array<string>").alias("kept"))
 
     def step(acc, line):
-        t = F.trim(line)
+        t = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
         in_notice = F.lit(False)
         for s in BLOCK_STARTS:
             in_notice = in_notice | t.startswith(s)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from veilstream.config import CustomPattern, Policy
 from veilstream.functions.patterns import EGRESS, INGRESS, KEY_PREFIXES, java
 from veilstream.functions.scalars import luhn, synthetic_id
+from veilstream.operators.notice import strip_notice
 
 REDACTED = "[REDACTED]"
 SUBS = "array<struct<synthetic:string,real:string,category:string>>"
@@ -113,11 +114,32 @@ def _egress_step(category: str):
     return lambda t: done(t) if _may_hold(category, t) is None else F.when(_may_hold(category, t), done(t)).otherwise(t)
 
 
-def unmask(text: Column, subs: Column) -> Column:
-    """text with every synthetic value replaced by its real one; longer tokens first, so a token that prefixes another
-    doesn't break it. For tokens that overlap in other ways see unmask_exact."""
-    ordered = F.array_sort(F.array_distinct(subs), lambda a, b: F.length(b["synthetic"]) - F.length(a["synthetic"]))
-    return F.aggregate(ordered, text, lambda acc, s: F.replace(acc, s["synthetic"], s["real"]))
+def unmask(text: Column, subs: Column, strip: bool = True) -> Column:
+    """text with every synthetic value replaced by its real one, in one pass: inserted values are not searched again. Then a
+    leaked notice is stripped.
+
+    Of tokens that begin at the same place the shorter wins; of pairs with the same token the first. Tokens that overlap in other ways
+    are taken from the left, where unmask_exact takes the one that ends first.
+    """
+    pairs = F.array_distinct(F.transform(F.filter(subs, lambda s: s["synthetic"] != ""), lambda s: F.struct(s["synthetic"].alias("synthetic"), s["real"].alias("real"))))
+
+    def fill(p):
+        tokens = F.array_distinct(F.transform(p, lambda s: s["synthetic"]))
+        ordered = F.array_sort(tokens, lambda a, b: F.length(a) - F.length(b))
+        quoted = F.transform(ordered, lambda t: F.concat(F.lit("\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+        pattern = F.array_join(quoted, "|")
+        # A map needs distinct tokens; where two values share one, the list is searched.
+        known = F.when(F.size(tokens) == F.size(p), F.map_from_entries(p))
+
+        def put(f):
+            real = lambda h: F.when(f["known"].isNotNull(), F.element_at(f["known"], h)).otherwise(F.get(F.filter(p, lambda s: s["synthetic"] == h), F.lit(0))["real"])
+            return F.array_join(F.zip_with(f["gaps"], f["hits"], lambda g, h: F.concat(g, F.coalesce(real(h), F.lit("")))), "")
+
+        found = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"), known.alias("known"))
+        return let(found, put)
+
+    restored = F.when(F.size(pairs) > 0, let(pairs, fill)).otherwise(text)
+    return let(restored, strip_notice) if strip else restored
 
 
 def placeholder(i: Column) -> Column:
@@ -135,23 +157,33 @@ def egress_protected(text: Column, subs: Column, policy: Policy = Policy()) -> C
     return let(marks, run)
 
 
+def token_spans(text: str, tokens: list[str]) -> list[tuple[int, int, str]]:
+    """(start, end, token) of the tokens in text, without overlap: the one that ends first wins, then the one that starts first."""
+    found = []
+    for token in set(tokens):
+        at = text.find(token)
+        while at >= 0:
+            found.append((at + len(token), at, token))
+            at = text.find(token, at + 1)
+    out, end = [], 0
+    for stop, start, token in sorted(found):
+        if start >= end:
+            out.append((start, stop, token))
+            end = stop
+    return out
+
+
 def unmask_exact(text: str, subs: list[tuple[str, str]]) -> str:
     """One pass over the text; of tokens that match, the one that ends first wins, then the one that started first.
 
     Inserted values are not searched again. For tokens that prefix or overlap each other.
     """
     tokens = {t: r for t, r in reversed(subs) if t}
-    if not tokens:
-        return text
-    lengths = sorted({len(t) for t in tokens})
-    out, start, end = [], 0, 1
-    while end <= len(text):
-        hit = next((n for n in reversed(lengths) if end - n >= start and text[end - n : end] in tokens), 0)
-        if hit:
-            out += [text[start : end - hit], tokens[text[end - hit : end]]]
-            start = end
-        end += 1
-    return "".join(out) + text[start:]
+    out, end = [], 0
+    for start, stop, token in token_spans(text, list(tokens)):
+        out += [text[end:start], tokens[token]]
+        end = stop
+    return "".join(out) + text[end:]
 
 
 def unmask_exact_column(text: Column, subs: Column) -> Column:

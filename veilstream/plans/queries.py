@@ -441,14 +441,22 @@ def header_helpers(spark, d):
     return c.select("c_custkey", X.strip_bearer(F.concat(F.lit("Bearer "), "c_name")).alias("token"), X.mask_url(url).alias("masked"), X.within_body_limit(F.col("c_name"), 18).alias("within"))
 
 
-@query(None)
+@query(
+    f"""WITH {Q.stages("conversations", "conv_id, turn", CONV_TEXT, CUSTOM)}
+SELECT z.conv_id, z.turn, CAST(greatest(1, ceil(length(z.txt) / 17)) AS BIGINT) AS n_chunks, {CONV_TEXT.replace("text", "c.text").replace("conv_id", "c.conv_id")} AS restored
+FROM {Q.last(CUSTOM)} z JOIN conversations c ON c.conv_id = z.conv_id AND c.turn = z.turn"""
+)
 def stream_unredact(spark, d):
-    """Answers that repeat redacted texts in chunks of 17 characters, restored chunk by chunk."""
+    """Answers that repeat redacted texts in chunks of 17 characters, restored chunk by chunk and put together."""
     made = _redaction(spark, d, "conversations", ["conv_id", "turn"], CONV_TEXT)
     rid = F.col("conv_id") * 1000 + F.col("turn")
     size = F.greatest(F.length("redacted"), F.lit(1))
     cut = made.select(rid.alias("response_id"), F.col("substitutions").alias("subs"), "redacted", F.explode(F.sequence(F.lit(0), ((size - 1) / 17).cast("int"))).alias("seq"))
-    return unredact_batch(cut.withColumn("chunk", F.substring("redacted", F.col("seq") * 17 + 1, F.lit(17))))
+    out = unredact_batch(cut.withColumn("chunk", F.substring("redacted", F.col("seq") * 17 + 1, F.lit(17))))
+    # A response is as long as the one text that it was cut from.
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat("emitted", F.coalesce("flushed", F.lit(""))).alias("t")))), lambda x: x["t"]), "")
+    whole = out.groupBy("response_id").agg(F.count("*").alias("n_chunks"), text.alias("restored"))
+    return whole.select(F.floor(F.col("response_id") / 1000).alias("conv_id"), (F.col("response_id") % 1000).alias("turn"), "n_chunks", "restored")
 
 
 @query(None)
