@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests_llm_brute import brute_features, brute_verdicts
+from tests_llm_brute import brute_features, brute_fences, brute_verdicts
 from veilstream.llm import langid, licenses, quality
 
 SF = "/root/testdata/sf0.001"
@@ -22,7 +22,7 @@ def test_features(spark):
 
 
 def test_quality_rules(spark, monkeypatch):
-    monkeypatch.setattr(quality, "MIN_GROUP", 8)
+    monkeypatch.setattr(quality, "PRIOR", 5)
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).select("lang", (F.col("doc_id") % 2).cast("string").alias("source"), "text").collect()
     rows = [tuple(r) for r in docs] + [("en", None, t) for t in EDGES] + [(None, None, docs[0].text), (None, None, docs[0].text), ("en", "0", " ".join("ab#%&|" for _ in range(40)))]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, source string, text string").repartition(3)
@@ -35,6 +35,43 @@ def test_quality_rules(spark, monkeypatch):
     assert quality.quality_rules(df.limit(0)).count() == 0 and quality.filter_quality(df.limit(0)).count() == 0
 
 
+def test_groups_have_their_own_fences(spark):
+    """The same documents pass in a group of texts full of symbols, and fail in a group that has none."""
+    rng = np.random.default_rng(1)
+    plain = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), int(rng.integers(3, 8)))) for _ in range(n))
+    coded = lambda n: " ".join(w + ("|" if i % 4 == 0 else "") for i, w in enumerate(plain(n).split()))
+    rows = [("en", "prose", plain(120)) for _ in range(300)] + [("en", "code", coded(120)) for _ in range(300)]
+    rows += [("en", source, coded(120)) for source in ("prose", "code") for _ in range(3)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, source string, text string")
+    judged = quality.quality_rules(df)
+    got = {r.doc_id: r.kept for r in judged.collect()}
+    assert [got[i] for i in range(len(rows))] == brute_verdicts(rows)
+    assert not any(got[i] for i in range(600, 603)) and all(got[i] for i in range(603, 606)) and sum(got[i] for i in range(600)) >= 590
+    fences = {r.source: r for r in quality.thresholds(quality.sketches(quality.with_rates(quality.base_features(df, keep=["lang", "source"])))).collect()}
+    assert fences["code"].high_symbol_rate > 2 * fences["prose"].high_symbol_rate
+    # Every fence is the rule's, from plain lists.
+    _, _, brute = brute_fences(rows)
+    for i in (0, 300):
+        for n in quality.RATES:
+            own = fences[rows[i][1]]
+            assert [own[f"low_{n}"], own[f"high_{n}"], own[f"spread_{n}"], own[f"size_{n}"]] == pytest.approx(brute(i, n))
+
+
+def test_fences_move_smoothly_with_the_group(spark):
+    """One document more or less never flips a group to other fences."""
+    last = None
+    for n in (199, 200, 201):
+        rows = [("en", "a", "word " * (20 + i % 7) + "%" * (i % 5)) for i in range(n)] + [("en", "b", "other words " * (30 + i % 9)) for i in range(400)]
+        fences = brute_fences([(a, b, " ".join(f"{w}{j}" for j, w in enumerate(t.split()))) for a, b, t in rows])[2](0, "word_length")
+        assert last is None or np.allclose(last, fences, rtol=0.02)
+        last = fences
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c", "x", "y")], "doc_id long, text string, n_words string, score string")
+    assert [(r.doc_id, r.n_words, r.score) for r in quality.base_features(df).collect()] == [(1, 3, "y")]
+
+
 def test_bins_keep_leading_bits(spark):
     values = [0, 1, 63, 64, 65, 127, 128, 1000, 9999]
     got = [r.b for r in spark.createDataFrame([(v,) for v in values], "v long").select(quality.sketch_bin(F.col("v")).alias("b")).collect()]

@@ -22,25 +22,44 @@ def brute_features(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, lines, len(covered)
 
 
-def brute_verdicts(rows):
-    """The rule over (lang, source, text) rows, with the sketches as plain lists."""
+def brute_fences(rows):
+    """(features, base_failed, function from a row's number and a rate to low, high, spread, size), with the sketches as plain lists."""
     feats = [dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"), brute_features(t))) for _, _, t in rows]
-    rates = [{n: f[a] * parts // f[b] if f[b] else 0 for n, (a, b, parts, *_) in quality.RATES.items()} for f in feats]
+    for f in feats:
+        f |= {n: f[a] * parts // f[b] if f[b] else 0 for n, (a, b, parts, *_) in quality.RATES.items()}
     failed = [f["n_words"] < 10 or 100 * f["n_repeat_words"] > 20 * f["n_words"] for f in feats]
     down = lambda v: v >> max(0, v.bit_length() - 6) << max(0, v.bit_length() - 6)
 
-    def at(values, q):
-        return sorted(values)[-(-len(values) * round(100 * q) // 100) - 1]
-
-    out = []
-    for (lang, source, _), rate, bad in zip(rows, rates, failed):
-        for n, (*_, floor, ceiling) in quality.RATES.items():
-            pools = [[down(r[n]) for r, row, f in zip(rates, rows, failed) if not f and test(row)] for test in (lambda x: x[:2] == (lang, source), lambda x: x[0] == lang, lambda x: True)]
-            if not pools[0]:
-                continue
-            pool = next((p for p in pools[:2] if len(p) >= quality.MIN_GROUP), pools[2])
-            low, high = at(pool, quality.LOWER), at(pool, quality.UPPER)
-            bad = bad or rate[n] > max(floor, high + quality.WIDTH * (high - low)) or (ceiling is not None and rate[n] < min(ceiling, low - quality.WIDTH * (high - low)))
+    def quartile(at, name, q):
+        out = None
+        for same in (lambda x: True, lambda x: x[0] == rows[at][0], lambda x: x[:2] == rows[at][:2]):
+            pool = sorted(down(f[name]) for f, row, bad in zip(feats, rows, failed) if not bad and same(row))
+            own = pool[-(-len(pool) * round(100 * q) // 100) - 1]
+            out = own if out is None else (len(pool) * own + quality.PRIOR * out) / (len(pool) + quality.PRIOR)
+        return out
+
+    def fences(at, name):
+        _, den, parts, one, _ = quality.RATES[name]
+        low, high, size = quartile(at, name, 0.25), quartile(at, name, 0.75), quartile(at, den, 0.5)
+        return low, high, max(high - low, 1, one * parts / max(1, size)), size
+
+    return feats, failed, fences
+
+
+def brute_verdicts(rows):
+    """The rule over (lang, source, text) rows."""
+    feats, failed, fences = brute_fences(rows)
+    out, known = [], {}
+    for i, (f, bad) in enumerate(zip(feats, failed)):
+        for n, (num, den, parts, one, both) in quality.RATES.items():
+            if failed[i]:
+                break
+            if (rows[i][:2], n) not in known:
+                known[rows[i][:2], n] = fences(i, n)
+            low, high, spread, median = known[rows[i][:2], n]
+            size = max(1, f[den])
+            value, room = max(0, f[num] - one) * parts / size, quality.WIDTH * spread * max(1, median / size) ** 0.5
+            bad = bad or value > high + room or (both and value < low - room)
         out.append(not bad)
     return out
 

@@ -1,17 +1,23 @@
 """Quality rules with thresholds from mergeable quantile sketches per language and source.
 
-Every document gives five base features and from them four rates in whole parts. Rates go into
+Every document gives base features and from them four rates. Rates, and the sizes that they are shares of, go into
 sketches: counts of bins that keep the six leading bits of a value (values below 64 are exact, others are within
 1/32). Bins of partial sketches add up, so a group of any size is one row per bin before the shuffle.
 
-Sketches are kept for (language, source), for the language, and for everything. A group whose sketch
-has fewer than MIN_GROUP documents takes the thresholds of its language, and that of everything when
-the language has too few. A rate fails when it lies more than WIDTH interquartile ranges above the upper quartile
-and above a floor that ordinary text doesn't pass; word lengths also have a lower fence. Thresholds so
-follow each group, and groups with narrow sketches don't lose their ordinary tail.
+Sketches are kept for (language, source), for the language, and for everything. A group's quartiles are shrunk towards those
+of its language, and these towards those of everything, as if PRIOR documents of the larger group had been added: a
+small group follows its language, a large one itself, and nothing flips at any size.
+
+A rate fails when it lies more than WIDTH spreads above the group's upper quartile; word lengths also fail as far below the lower
+one. The spread is the distance of the quartiles, but at least what a single occurrence (a symbol, a line,
+two windows) makes in a document of the group's median size: a rate can't be told more finely. For the same reason a document's
+own rate is taken less one occurrence, and the spread grows for documents smaller than the median, by the root of the size. There
+are no other limits: every fence comes from the sketches.
 
 Defined results: a null text has no words and fails the base rule; null language and null source are groups of
-their own; repeated rows count each; an empty table gives no rows; input columns stay as they are.
+their own; repeated rows count each; an empty table gives no rows; texts of any length are read whole, one at a time, in
+time proportional to n log n of their words; input columns stay as they are (in ``base_features`` one with the name of a
+feature is replaced by it).
 """
 
 from __future__ import annotations
@@ -27,17 +33,20 @@ from veilstream.session import materialise, ship_package
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-MIN_GROUP = 200
+#: Documents of the larger group that a group's quartiles are shrunk with.
+PRIOR = 20
 UPPER = 0.75
+MIDDLE = 0.5
 LOWER = 0.25
-WIDTH = 3
-#: Rate: (numerator, denominator, parts of a whole, floor of the upper fence, ceiling of the lower fence).
+WIDTH = 4
+#: Rate: (numerator, denominator, parts of a whole, the numerator of one occurrence, whether low values fail too).
 RATES = {
-    "symbol_rate": ("n_symbols", "word_chars", 10_000, 300, None),
-    "dup_line_rate": ("n_dup_lines", "n_lines", 10_000, 5_000, None),
-    "repeat_rate": ("n_repeat_words", "n_words", 10_000, 2_000, None),
-    "word_length": ("word_chars", "n_words", 100, 1_200, 250),
+    "symbol_rate": ("n_symbols", "word_chars", 10_000, 1, False),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 10_000, 1, False),
+    "repeat_rate": ("n_repeat_words", "n_words", 10_000, 2 * WINDOW, False),
+    "word_length": ("word_chars", "n_words", 100, 0, True),
 }
+SIZES = sorted({x[1] for x in RATES.values()})
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\v\f\r"
@@ -86,14 +95,11 @@ def text_features(text: bytes | None) -> tuple[int, int, int, int, int, int]:
 
 
 def base_features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of ``keep`` (default: all) and the base features of every document."""
+    """The columns of ``keep`` (default: all but those with the name of a feature) and the base features of every document."""
     ship_package(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
-    clash = {f.split()[0] for f in FEATURES.split(", ")} & set(keep)
-    if clash:
-        raise ValueError(f"rename {sorted(clash)} first")
-    rows, text_of = with_text(docs, text_col, keep)
     names = [f.split()[0] for f in FEATURES.split(", ")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    rows, text_of = with_text(docs, text_col, keep)
 
     def features(batches):
         for batch in batches:
@@ -119,40 +125,39 @@ def sketch_bin(value):
 
 def sketches(rated: DataFrame) -> DataFrame:
     """lang, source, rate, bin, n: the mergeable sketch of each group; documents that fail the base rule have no part."""
-    long = F.explode(F.array(*[F.struct(F.lit(n).alias("rate"), sketch_bin(F.col(n)).alias("bin")) for n in RATES])).alias("x")
+    long = F.explode(F.array(*[F.struct(F.lit(n).alias("rate"), sketch_bin(F.col(n)).alias("bin")) for n in [*RATES, *SIZES]])).alias("x")
     return rated.where(~F.col("base_failed")).select("lang", "source", long).groupBy("lang", "source", "x.rate", "x.bin").agg(F.count("*").alias("n"))
 
 
 def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Documents, lower quantile, median and upper quantile (bins) of each rate, for each group of ``by``."""
+    """Documents, lower quartile, median and upper quartile (bins) of each rate and size, for each group of ``by``."""
     from pyspark.sql import Window
 
     bins = sketch.groupBy(*by, "rate", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "rate")
     run = bins.select(*by, "rate", "bin", F.sum("n").over(group.orderBy("bin")).alias("upto"), F.sum("n").over(group).alias("n"))
-    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("n") * round(100 * q), F.col("bin")))
-    return run.groupBy(*by, "rate").agg(F.max("n").alias("n"), at(LOWER).alias("low"), at(0.5).alias("mid"), at(UPPER).alias("high"))
+    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("n") * round(100 * q), F.col("bin"))).cast("double")
+    return run.groupBy(*by, "rate").agg(F.max("n").cast("double").alias("n"), at(LOWER).alias("low"), at(MIDDLE).alias("mid"), at(UPPER).alias("high"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row for each (lang, source) with the fences of every rate: upper_<rate>, and lower_<rate> where there is one.
+    """One row for each (lang, source) with low_, high_, spread_ and size_ of every rate.
 
     Sizes: groups times bins, never documents.
     """
-    fine, coarse, whole = quantiles(sketch, ["lang", "source"]), quantiles(sketch, ["lang"]), quantiles(sketch, [])
-    stats = ["n", "low", "mid", "high"]
-    named = lambda df, p: df.select(*[c for c in df.columns if c not in stats], *[F.col(c).alias(f"{p}_{c}") for c in stats])
-    f, c, w = named(fine, "f"), named(coarse, "c").withColumnsRenamed({"lang": "c_lang", "rate": "c_rate"}), named(whole, "w").withColumnRenamed("rate", "w_rate")
+    stats = ["low", "mid", "high"]
+    named = lambda df, p: df.select(*[F.col(c).alias(c if c in ("lang", "source", "rate") and p == "f" else f"{p}_{c}") for c in df.columns])
+    f, c, w = named(quantiles(sketch, ["lang", "source"]), "f"), named(quantiles(sketch, ["lang"]), "c"), named(quantiles(sketch, []), "w")
     joined = f.join(c, F.col("lang").eqNullSafe(F.col("c_lang")) & (F.col("rate") == F.col("c_rate"))).join(w, F.col("rate") == F.col("w_rate"))
-    pick = lambda s: F.when(F.col("f_n") >= MIN_GROUP, F.col(f"f_{s}")).when(F.col("c_n") >= MIN_GROUP, F.col(f"c_{s}")).otherwise(F.col(f"w_{s}"))
-    picked = joined.select("lang", "source", "rate", *[pick(s).alias(s) for s in stats[1:]])
-    out = []
-    for name, (*_, floor, ceiling) in RATES.items():
-        own = F.col("rate") == name
-        out.append(F.max(F.when(own, F.greatest(F.lit(floor), F.col("high") + WIDTH * (F.col("high") - F.col("low"))))).alias(f"upper_{name}"))
-        if ceiling is not None:
-            out.append(F.max(F.when(own, F.least(F.lit(ceiling), F.col("low") - WIDTH * (F.col("high") - F.col("low"))))).alias(f"lower_{name}"))
-    return picked.groupBy("lang", "source").agg(*out)
+    shrunk = lambda n, own, wider: (n * own + PRIOR * wider) / (n + PRIOR)
+    coarse = lambda s: shrunk(F.col("c_n"), F.col(f"c_{s}"), F.col(f"w_{s}"))
+    picked = joined.select("lang", "source", "rate", *[shrunk(F.col("f_n"), F.col(f"f_{s}"), coarse(s)).alias(s) for s in stats])
+    of = lambda name, s: F.max(F.when(F.col("rate") == name, F.col(s)))
+    wide = picked.groupBy("lang", "source").agg(
+        *[of(n, s).alias(f"{s}_{n}") for n in RATES for s in ("low", "high")], *[of(x[1], "mid").alias(f"size_{n}") for n, x in RATES.items()]
+    )
+    least = lambda n, x: F.greatest(F.lit(1.0), F.lit(float(x[3] * x[2])) / F.greatest(F.lit(1.0), F.col(f"size_{n}")))
+    return wide.withColumns({f"spread_{n}": F.greatest(F.col(f"high_{n}") - F.col(f"low_{n}"), least(n, x)) for n, x in RATES.items()})
 
 
 def judge(rated: DataFrame, fences: DataFrame) -> DataFrame:
@@ -163,10 +168,13 @@ def judge(rated: DataFrame, fences: DataFrame) -> DataFrame:
     """
     limits = fences.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     own = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
-    over = [F.col(n) > F.col(f"upper_{n}") for n in RATES] + [F.col(n) < F.col(f"lower_{n}") for n, x in RATES.items() if x[4] is not None]
-    bad = F.coalesce(over[0], F.lit(False))
-    for o in over[1:]:
-        bad = bad | F.coalesce(o, F.lit(False))
+    bad = F.lit(False)
+    for n, (num, den, parts, one, both) in RATES.items():
+        size = F.greatest(F.lit(1.0), F.col(den).cast("double"))
+        value = F.greatest(F.lit(0.0), (F.col(num) - one).cast("double")) * float(parts) / size
+        room = F.lit(float(WIDTH)) * F.col(f"spread_{n}") * F.sqrt(F.greatest(F.lit(1.0), F.col(f"size_{n}") / size))
+        out = value > F.col(f"high_{n}") + room
+        bad = bad | F.coalesce(out | (value < F.col(f"low_{n}") - room) if both else out, F.lit(False))
     joined = rated.join(limits, own, "left").withColumn("kept", ~(F.col("base_failed") | bad))
     return joined.drop(*limits.columns)
 
@@ -198,18 +206,28 @@ def filter_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 def quality_sql() -> str:
     """The same in DuckDB SQL."""
     rates = {n: f"CASE WHEN {b} > 0 THEN {a} * {parts} // {b} ELSE 0 END" for n, (a, b, parts, *_) in RATES.items()}
-    long = " UNION ALL ".join(f"SELECT lang, source, '{n}' AS rate, {n} AS v FROM r WHERE NOT base_failed" for n in RATES)
+    long = " UNION ALL ".join(f"SELECT lang, source, '{n}' AS rate, {n} AS v FROM r WHERE NOT base_failed" for n in [*RATES, *SIZES])
 
     def stats(name: str, by: str) -> str:
         keys = f"{by}, " if by else ""
-        at = lambda q: f"min(CASE WHEN upto * 100 >= n * {round(100 * q)} THEN bin END)"
-        return f"""{name} AS (SELECT {keys}rate, max(n) AS n, {at(LOWER)} AS low, {at(UPPER)} AS high FROM (
+        at = lambda q: f"CAST(min(CASE WHEN upto * 100 >= n * {round(100 * q)} THEN bin END) AS DOUBLE)"
+        return f"""{name} AS (SELECT {keys}rate, CAST(max(n) AS DOUBLE) AS n, {at(LOWER)} AS low, {at(MIDDLE)} AS mid, {at(UPPER)} AS high FROM (
     SELECT {keys}rate, bin, sum(c) OVER (PARTITION BY {keys}rate ORDER BY bin) AS upto, sum(c) OVER (PARTITION BY {keys}rate) AS n
     FROM (SELECT {keys}rate, bin, count(*) AS c FROM b GROUP BY ALL)) GROUP BY ALL)"""
 
-    upper = " ".join(f"WHEN '{n}' THEN {floor}" for n, (*_, floor, _) in RATES.items())
-    lower = " ".join(f"WHEN '{n}' THEN {ceiling}" for n, (*_, ceiling) in RATES.items() if ceiling is not None)
-    values = " ".join(f"WHEN '{n}' THEN r.{n}" for n in RATES)
+    shrunk = lambda n, own, wider: f"(({n} * {own} + {PRIOR} * {wider}) / ({n} + {PRIOR}))"
+    picked = ", ".join(f"{shrunk('fine.n', f'fine.{s}', shrunk('coarse.n', f'coarse.{s}', f'whole.{s}'))} AS {s}" for s in ("low", "mid", "high"))
+    of = lambda name, s: f"max(CASE WHEN rate = '{name}' THEN {s} END)"
+    wide = ", ".join([f"{of(n, s)} AS {s}_{n}" for n in RATES for s in ("low", "high")] + [f"{of(x[1], 'mid')} AS size_{n}" for n, x in RATES.items()])
+    spread = ", ".join(f"greatest(high_{n} - low_{n}, greatest(CAST(1 AS DOUBLE), CAST({x[3] * x[2]} AS DOUBLE) / greatest(CAST(1 AS DOUBLE), size_{n}))) AS spread_{n}" for n, x in RATES.items())
+    tests = []
+    for n, (num, den, parts, one, both) in RATES.items():
+        size = f"greatest(CAST(1 AS DOUBLE), CAST({den} AS DOUBLE))"
+        value = f"greatest(CAST(0 AS DOUBLE), CAST({num} - {one} AS DOUBLE)) * CAST({parts} AS DOUBLE) / {size}"
+        room = f"CAST({WIDTH} AS DOUBLE) * spread_{n} * sqrt(greatest(CAST(1 AS DOUBLE), size_{n} / {size}))"
+        tests.append(f"coalesce({value} > high_{n} + {room}, false)")
+        if both:
+            tests.append(f"coalesce({value} < low_{n} - {room}, false)")
     return f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
@@ -225,10 +243,9 @@ b AS (SELECT lang, source, rate, (v >> greatest(0, length(bin(v)) - 6)) << great
 {stats('fine', 'lang, source')},
 {stats('coarse', 'lang')},
 {stats('whole', '')},
-p AS (SELECT fine.lang, fine.source, fine.rate, CASE WHEN fine.n >= {MIN_GROUP} THEN fine.low WHEN coarse.n >= {MIN_GROUP} THEN coarse.low ELSE whole.low END AS low,
-    CASE WHEN fine.n >= {MIN_GROUP} THEN fine.high WHEN coarse.n >= {MIN_GROUP} THEN coarse.high ELSE whole.high END AS high
+p AS (SELECT fine.lang, fine.source, fine.rate, {picked}
     FROM fine JOIN coarse ON coarse.lang IS NOT DISTINCT FROM fine.lang AND coarse.rate = fine.rate JOIN whole ON whole.rate = fine.rate),
-q AS (SELECT lang, source, rate, greatest(CASE rate {upper} END, high + {WIDTH} * (high - low)) AS upper, CASE WHEN rate IN ({', '.join(f"'{n}'" for n, x in RATES.items() if x[4] is not None)}) THEN least(CASE rate {lower} END, low - {WIDTH} * (high - low)) END AS lower FROM p),
-x AS (SELECT r.rid, bool_or(coalesce(CASE q.rate {values} END > q.upper, false) OR coalesce(CASE q.rate {values} END < q.lower, false)) AS bad
-    FROM r JOIN q ON q.lang IS NOT DISTINCT FROM r.lang AND q.source IS NOT DISTINCT FROM r.source GROUP BY r.rid)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, false) AS kept FROM r LEFT JOIN x ON x.rid = r.rid"""
+q AS (SELECT lang, source, {wide} FROM p GROUP BY lang, source),
+l AS (SELECT *, {spread} FROM q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({' OR '.join(tests)}) AS kept
+FROM r LEFT JOIN l ON l.lang IS NOT DISTINCT FROM r.lang AND l.source IS NOT DISTINCT FROM r.source"""
