@@ -38,8 +38,16 @@ EGRESS = ["EMAIL", "IP", "APIKEY", "PHONE", "SSN", "CC"]
 PATTERNS = {"EMAIL": EMAIL, "CC": CC, "IP": IP, "APIKEY": APIKEY, "PHONE": PHONE, "SSN": SSN}
 
 
+#: What every hit starts with: a test of one character before the costly ones (word boundaries, seventeen alternatives).
+FIRST = {"CC": r"(?=\d)", "IP": r"(?=\d)", "APIKEY": "(?=[sAgrpxSkn])", "PHONE": r"(?=[+(\d])", "SSN": r"(?=[\dA-Z])"}
+
+
 def java(category: str) -> str:
-    return ("(?iu)" if category == "EMAIL" else "(?U)") + PATTERNS[category]
+    """The pattern for Spark: the same hits, found faster. An address starts where its run of characters does (or the last hit ended)."""
+    if category == "EMAIL":
+        local, domain = EMAIL.split("+@")
+        return rf"(?iu)(?:\G|(?<!{local})){local}++@{domain}"
+    return "(?U)" + FIRST[category] + PATTERNS[category]
 
 
 def re2(category: str) -> str:

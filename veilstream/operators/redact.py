@@ -63,23 +63,16 @@ def _rewritten(text: Column, found: Column, valid, put) -> Column:
     return F.when(F.size(found["hits"]) > 0, joined).otherwise(text)
 
 
-def _redact_stage(state: Column, category: str, pattern: str, valid) -> Column:
-    """state is struct(text, subs, counts); so is the result."""
-    pair = lambda h: F.struct(synthetic_id(category, h).alias("synthetic"), h.alias("real"), F.lit(category).alias("category"))
-
-    def run(s):
-        def fill(f):
-            kept = F.filter(f["hits"], lambda h: valid(h)) if valid else f["hits"]
-            count = F.struct(F.lit(category).alias("key"), F.size(kept).cast("long").alias("value"))
-            return F.struct(
-                _rewritten(s["text"], f, valid, lambda h: synthetic_id(category, h)).alias("text"),
-                F.concat(s["subs"], F.transform(F.reverse(kept), lambda h: pair(h))).alias("subs"),
-                F.concat(s["counts"], F.filter(F.array(count), lambda c: c["value"] > 0)).alias("counts"),
-            )
-
-        return let(_hits_and_gaps(category, s["text"], pattern), fill)
-
-    return let(state, run)
+def _stage(df: DataFrame, i: int, category: str, pattern: str, valid) -> DataFrame:
+    """df with __h<i> (the valid hits of __t<i>) and __t<i + 1> (the text rewritten), as columns: each is computed once, by compiled code."""
+    text, guard = F.col(f"__t{i}"), _may_hold(category, F.col(f"__t{i}"))
+    none = F.array().cast(NONE)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    df = df.withColumn("__hits", F.coalesce(hits if guard is None else F.when(guard, hits), none))
+    # Only a text with hits is split.
+    df = df.withColumn("__found", F.struct(F.col("__hits").alias("hits"), F.when(F.size("__hits") > 0, F.split(text, pattern, -1)).alias("gaps")))
+    df = df.withColumn(f"__t{i + 1}", _rewritten(text, F.col("__found"), valid, lambda h: synthetic_id(category, h)))
+    return df.withColumn(f"__h{i}", F.filter("__hits", lambda h: valid(h)) if valid else F.col("__hits")).drop("__hits", "__found", f"__t{i}")
 
 
 def redact(df: DataFrame, text_col: str = "text", policy: Policy = Policy(), custom: tuple[CustomPattern, ...] = (), categories: list[str] | None = None) -> DataFrame:
@@ -87,15 +80,25 @@ def redact(df: DataFrame, text_col: str = "text", policy: Policy = Policy(), cus
     pii_count, pii_found and types_found. Null text: null redacted, no substitutions."""
     stages = [(c, java(c), luhn if c == "CC" else None) for c in categories or INGRESS if policy.allows(c)]
     stages += [(c.name, f"(?U){c.regex}", None) for c in custom]
-    state = F.struct(F.col(text_col).alias("text"), F.array().cast(SUBS).alias("subs"), F.array().cast("array<struct<key:string,value:bigint>>").alias("counts"))
-    for category, pattern, valid in stages:
-        state = _redact_stage(state, category, pattern, valid)
-    out = df.withColumn("__state", state)
-    s = F.col("__state")
-    out = out.withColumns({"redacted": s["text"], "substitutions": s["subs"], "pii_counts": F.map_from_entries(s["counts"])}).drop("__state")
-    return out.withColumns(
-        {"pii_count": F.size("substitutions").cast("long"), "pii_found": F.size("substitutions") > 0, "types_found": F.array_sort(F.map_keys("pii_counts"))}
+    out = df.withColumn("__t0", F.col(text_col))
+    for i, (category, pattern, valid) in enumerate(stages):
+        out = _stage(out, i, category, pattern, valid)
+    pair = lambda c: lambda h: F.struct(synthetic_id(c, h).alias("synthetic"), h.alias("real"), F.lit(c).alias("category"))
+    subs = [F.transform(F.reverse(f"__h{i}"), pair(c)) for i, (c, _, _) in enumerate(stages)]
+    counts = F.array(*[F.struct(F.lit(c).alias("key"), F.size(f"__h{i}").cast("long").alias("value")) for i, (c, _, _) in enumerate(stages)])
+    total = F.lit(0).cast("long")
+    for i in range(len(stages)):
+        total = total + F.size(f"__h{i}")
+    out = out.withColumns(
+        {
+            "redacted": F.col(f"__t{len(stages)}"),
+            "substitutions": (F.concat(*subs) if subs else F.array()).cast(SUBS),
+            "pii_counts": F.map_from_entries(F.filter(counts, lambda c: c["value"] > 0)) if stages else F.create_map().cast("map<string,bigint>"),
+            "pii_count": total,
+            "pii_found": total > 0,
+        }
     )
+    return out.withColumn("types_found", F.array_sort(F.map_keys("pii_counts"))).drop(f"__t{len(stages)}", *[f"__h{i}" for i in range(len(stages))])
 
 
 def egress(text: Column, policy: Policy = Policy(), cc_first: bool = False) -> Column:
