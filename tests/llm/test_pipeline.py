@@ -5,7 +5,8 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from tests_llm_brute import brute_fingerprint, brute_reach, brute_verdicts
+from test_nearcopies import brute_groups
+from tests_llm_brute import brute_verdicts
 from veilstream.llm import langid
 from veilstream.llm.tokens import word_table_path
 
@@ -26,11 +27,9 @@ def test_stages_match_brute_force(spark):
     kept = [r for r, bad in zip(kept, rejected) if not bad]
     assert ids(told) == [r.doc_id for r in kept] and told.columns == docs.columns
 
-    prints = {r.doc_id: brute_fingerprint(r.text) for r in kept}
-    roots = brute_reach(set(prints.values()))
     first = {}
-    for d in sorted(prints):
-        first.setdefault(roots[prints[d]], d)
+    for r, root in zip(kept, brute_groups([r.text for r in kept])):
+        first.setdefault(root, r.doc_id)
     alone = corpus_pipeline.near_dedup(spark, told, SF).cache()
     assert ids(alone) == sorted(first.values()) and alone.columns == docs.columns
 

@@ -61,3 +61,8 @@ def test_empty_and_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert S.near_duplicates(docs).count() == 4
     assert sorted(S.keep_representatives(docs).collect(), key=str) == sorted([(5, "q r s t u"), (None, "a b c d")], key=str)
+
+
+def test_different_texts_of_one_id_stay(spark):
+    docs = spark.createDataFrame([(7, "a b c d"), (7, "q r s t u"), (3, "q r s t u"), (7, "a b c d")], "doc_id long, text string")
+    assert sorted(S.keep_representatives(docs).collect()) == [(3, "q r s t u"), (7, "a b c d")]

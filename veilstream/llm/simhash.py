@@ -51,25 +51,33 @@ def fingerprint(text: bytes | None, k: int = SHINGLE_WORDS) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
         starts = [0, *ends[: n - 1].tolist()]
         hashes = map(xxhash.xxh64_intdigest, [line[a:b] for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())], repeat(SEED))
-    h = np.fromiter(hashes, dtype=np.uint64, count=n)
-    counts = np.zeros(64, dtype=np.int64)
+    return majority(np.fromiter(hashes, dtype=np.uint64, count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    n, counts = len(hashes), np.zeros(64, dtype=np.int64)
     for a in range(0, n, 1 << 16):
-        part = h[a : a + (1 << 16)]
+        part = np.ascontiguousarray(hashes[a : a + (1 << 16)])
         counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+def text_id(text_col: str):
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every document."""
+    """doc_id, tid (a hash of the text) and fp (the fingerprint as a signed long) of every document."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_id(text_col).alias("tid"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def prints(batches):
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "tid", "fp"])
 
-    return rows.mapInArrow(prints, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(prints, f"doc_id {docs.schema[id_col].dataType.simpleString()}, tid long, fp long")
 
 
 class BitPlanes:
@@ -234,15 +242,20 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, block: int = BLOCK
-) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable through links) of every document."""
+def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, radius: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tid, fp) of every document, and (fp, first_id, root) of every fingerprint."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(distinct.select("fp"), radius, block))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = materialise(rooted, "rooted")
+    return prints, materialise(rooted, "rooted")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, block: int = BLOCK
+) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable through links) of every document."""
+    prints, rooted = _rooted(docs, id_col, text_col, shingle_words, radius, block)
     linked = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root")
     return prints.join(linked.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
@@ -251,22 +264,21 @@ def simhash_digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component: the one with the smallest id. Columns stay as they are.
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component (doc_id, tid, root of ``found``) the document with the least id, documents without an id last; columns stay as they are.
 
-    Rows that repeat an id are one document, so one of them stays; rows without an id are kept only if no
-    row of their component has one, and are then kept once for each text.
+    Keepers are found among ids and hashes; only then do texts meet them, by (id, hash). Rows that share an id but not their text are documents of their own.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.join(first, F.col(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col])
-    if not docs.schema[id_col].nullable:
-        return named
-    alone = docs.where(F.col(id_col).isNull())
-    if alone.isEmpty():
-        return named
-    lone = found.where("component_id is null").select("fp").distinct()
-    stray = fingerprints(alone.withColumn(id_col, F.xxhash64(text_col)), id_col, text_col, options.get("shingle_words", SHINGLE_WORDS))
-    stray = stray.join(lone, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("__tie"))
-    kept = alone.join(stray.select("__tie"), F.xxhash64(text_col) == F.col("__tie"), "left_semi")
-    return named.unionByName(kept.dropDuplicates([text_col]))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid"))
+    first = found.groupBy("root").agg(least.alias("x")).select(F.col("x.doc_id").alias("__keep"), F.col("x.tid").alias("__keep_tid"))
+    rows = docs.withColumn("__tid", text_id(text_col))
+    own = F.col(id_col).eqNullSafe(F.col("__keep")) & (F.col("__tid") == F.col("__keep_tid"))
+    return rows.join(first, own, "left_semi").dropDuplicates([id_col, "__tid"]).drop("__tid")
+
+
+def keep_representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, block: int = BLOCK
+) -> DataFrame:
+    """One document of each component: the one with the smallest id."""
+    prints, rooted = _rooted(docs, id_col, text_col, shingle_words, radius, block)
+    return keep_first(docs, prints.join(rooted.select("fp", "root"), "fp"), id_col, text_col)
