@@ -1,18 +1,24 @@
 """Approximate nearest neighbours: a hierarchical k-means tree with best-bin-first search.
 
-The tree is fitted on at most FIT_ROWS vectors (by a hash of the id); every vector is then put into a leaf.
-A query walks the tree through a priority queue, best inner product with a node's centre first, and visits leaves in that order.
-How many is calibrated: CALIBRATION queries (a bounded sample) are answered exactly against all vectors, block
-by block, and the visits are widened until TARGET of their true neighbours lie in visited leaves. A query goes on
-beyond that until its leaves hold enough vectors for its answer.
-
-Leaves larger than BLOCK vectors are cut by hash, and queries go to every cut. A task holds one block of vectors
-and streams its queries past it; copies of a vector are scored once. Only the nearest of every block go on,
+The tree is fitted on at most FIT_ROWS vectors (by a hash of the id), so it grows with the data up to that; every vector is
+then put into a leaf. A node is a bin with a centre and a variance for each dimension. A query walks the tree through a priority queue: a bin's
+priority is the inner product that its best vectors may have, that of the centre and SPREAD standard deviations along the query
+more. Leaves are visited in that order, up to a number of visits or until priorities have fallen by a margin below the query's
+first leaf (few leaves for a query amid a cluster, many for one that is near to nothing).
+
+Both limits are calibrated: CALIBRATION queries (a bounded sample) are answered exactly against all vectors, block
+by block, and visits are widened until TARGET of the true neighbours of one half lie in visited leaves; the limit that visits fewer
+vectors for it is taken, and the other half measures the recall. A query goes on beyond that until its leaves hold enough
+vectors for its answer.
+
+Leaves are dealt in blocks of at most BLOCK vectors, neighbours together; a larger leaf is cut by hash, and queries go to every cut.
+A query goes once to each block that has a leaf of its own, with the list of these, and only their vectors are scored.
+A task holds one block of vectors and streams its queries past it; copies of a vector are scored once. Only the nearest of every block go on,
 ranked again by query with a limit before the shuffle.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
 another length than most and rows without an id; ties go to the smaller id; rows with the query's own id are not
-its neighbours; repeated query rows are answered once, repeated candidates count each; an empty table gives
+its neighbours; repeated query rows are answered once (for the least of their vectors), repeated candidates count each; an empty table gives
 no rows; other columns are not read.
 """
 
@@ -29,12 +35,15 @@ from veilstream.session import materialise, ship_package
 
 NEIGHBOURS = 20
 #: Vectors that the tree is fitted on, at most.
-FIT_ROWS = 20_000
-#: Queries that are answered exactly to calibrate, at most.
-CALIBRATION = 256
+FIT_ROWS = 32_768
+#: Queries that are answered exactly, at most: half to calibrate, half to measure.
+CALIBRATION = 512
 TARGET = 0.95
 BRANCHES = 8
-LEAF_ROWS = 160
+#: Vectors of the sample in a leaf, at most.
+LEAF_ROWS = 24
+#: Standard deviations above its centre's product that a bin's best vectors are looked for.
+SPREAD = 3.0
 ITERATIONS = 8
 #: Vectors that a task holds at once.
 BLOCK = 8192
@@ -43,18 +52,19 @@ SEED = 11
 
 
 class KMeansTree:
-    """Nodes with centres; ``children[i]`` is empty for a leaf, and ``leaf[i]`` its number."""
+    """Nodes with centres and variances; ``children[i]`` is empty for a leaf, and ``leaf[i]`` its number."""
 
     def __init__(self, sample: np.ndarray, branches: int = BRANCHES, leaf_rows: int = LEAF_ROWS, seed: int = SEED):
-        self.centres, self.children, self.leaf, self.n_leaves = [], [], [], 0
+        self.centres, self.variances, self.children, self.leaf, self.n_leaves = [], [], [], [], 0
         self.rng = np.random.default_rng(seed)
         self._grow(sample, branches, leaf_rows, 0)
-        self.centres = np.array(self.centres)
+        self.centres, self.variances = np.array(self.centres), np.array(self.variances)
         del self.rng
 
     def _grow(self, rows: np.ndarray, branches: int, leaf_rows: int, depth: int) -> int:
         at = len(self.centres)
         self.centres.append(rows.mean(axis=0) if len(rows) else np.zeros(rows.shape[1]))
+        self.variances.append(rows.var(axis=0) if len(rows) else np.zeros(rows.shape[1]))
         self.children.append([])
         self.leaf.append(-1)
         parts = self._split(rows, branches) if len(rows) > leaf_rows and depth < 40 else []
@@ -87,46 +97,76 @@ class KMeansTree:
             todo += [(kid, at[near == i]) for i, kid in enumerate(kids) if (near == i).any()]
         return out
 
-    def leaves(self, query: np.ndarray):
-        """Leaves in best-bin-first order."""
-        queue = [(0.0, 0)]
+    def priorities(self, queries: np.ndarray) -> np.ndarray:
+        """What the best vectors of every node may score, for every query."""
+        return queries @ self.centres.T + SPREAD * np.sqrt(np.maximum(0.0, queries**2 @ self.variances.T))
+
+    def leaves(self, priority: list[float]):
+        """(leaf, its priority) in best-bin-first order, for the priorities of a query."""
+        queue = [(-priority[0], 0)]
         while queue:
-            _, node = heapq.heappop(queue)
+            p, node = heapq.heappop(queue)
             kids = self.children[node]
             if not kids:
-                yield self.leaf[node]
+                yield self.leaf[node], -p
             else:
-                for p, kid in zip((self.centres[kids] @ query).tolist(), kids):
-                    heapq.heappush(queue, (-p, kid))
+                for kid in kids:
+                    heapq.heappush(queue, (-priority[kid], kid))
 
 
 def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (rows @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
 
 
-def best_in_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """(query row, id, score) of the k nearest of the block for every query, by inner product in double precision."""
+def _counting_copies(vectors: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows that can be among the k nearest of any query: copies have equal scores, so of each vector only the k + 1 smallest
+    ids can (one may be the query's own), with k rows each. ``ids`` ascend."""
+    raw = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize))).ravel()
+    _, group = np.unique(raw, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    g, i = group[order], ids[order]
+    first = np.concatenate(([True], g[1:] != g[:-1]))
+    fresh = first | np.concatenate(([True], i[1:] != i[:-1]))
+    place = np.cumsum(fresh)
+    nth_id = place - np.repeat(place[first], np.diff(np.concatenate((np.flatnonzero(first), [len(g)]))))
+    nth_row = np.arange(len(g)) - np.repeat(np.flatnonzero(fresh), np.diff(np.concatenate((np.flatnonzero(fresh), [len(g)]))))
+    keep = np.zeros(len(ids), dtype=bool)
+    keep[order] = (nth_id <= k) & (nth_row < k)
+    return keep
+
+
+def best_in_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, leaf: np.ndarray | None = None, visits: list | None = None):
+    """(query row, id, score) of the k nearest of the block for every query, by inner product in double precision.
+
+    With ``leaf`` (of every vector) and ``visits`` (the leaves of every query) only vectors of visited leaves are scored.
+    """
     if not len(ids) or not len(query_ids):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     order = np.argsort(ids, kind="stable")
+    order = order[_counting_copies(vectors[order], ids[order], k)]
+    if leaf is not None:
+        order = order[np.argsort(leaf[order], kind="stable")]
+        leaf = leaf[order]
     vectors, ids = np.ascontiguousarray(vectors[order]), ids[order]
-    # Copies have equal scores: of each vector only the k + 1 smallest ids can count.
-    raw = vectors.view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize))).ravel()
-    _, group = np.unique(raw, return_inverse=True)
-    by_group = np.argsort(group, kind="stable")
-    sizes = np.bincount(group)
-    rank = np.empty(len(ids), dtype=np.int64)
-    rank[by_group] = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    vectors, ids = vectors[rank <= k], ids[rank <= k]
-    scores = queries @ vectors.T
-    own = query_ids[:, None] == ids[None, :]
-    scores[own] = -np.inf
+    if leaf is None:
+        scores = queries @ vectors.T
+    else:
+        scores = np.full((len(queries), len(ids)), -np.inf)
+        asked: dict[int, list[int]] = {}
+        for row, mine in enumerate(visits):
+            for x in mine:
+                asked.setdefault(x, []).append(row)
+        bounds = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1], [True])))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            if rows := asked.get(int(leaf[a])):
+                scores[rows, a:b] = queries[rows] @ vectors[a:b].T
+    scores[query_ids[:, None] == ids[None, :]] = -np.inf
     if scores.shape[1] > k:
         least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
         room = 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(least), least, 0.0)))
-        q, v = np.nonzero((scores >= (least - room)[:, None]) & ~own)
+        q, v = np.nonzero((scores >= (least - room)[:, None]) & (scores > -np.inf))
     else:
-        q, v = np.nonzero(~own)
+        q, v = np.nonzero(scores > -np.inf)
     # The same order of additions for every pair, so that copies have equal scores everywhere.
     exact = (queries[q] * vectors[v]).sum(axis=1)
     order = np.lexsort((ids[v], -exact, q))
@@ -182,11 +222,27 @@ def exact_neighbours(vectors: DataFrame, queries: list[tuple[int, np.ndarray]],
     return _ranked(vectors.select("id", "vec").mapInArrow(scan, "query_id long, vec_id long, score double"), k)
 
 
+def blocks_of(counts: dict[int, int], block: int) -> tuple[dict[int, int], dict[int, int]]:
+    """(first block of every leaf, blocks that it is cut into): leaves in order of number, neighbours in the tree, together up to ``block`` vectors."""
+    first, cuts, at, held = {}, {}, 0, 0
+    for leaf in sorted(counts):
+        n = counts[leaf]
+        if held and held + n > block:
+            at, held = at + 1, 0
+        first[leaf], cuts[leaf] = at, -(-n // block)
+        held += n
+        if cuts[leaf] > 1:
+            at, held = at + cuts[leaf], 0
+    return first, cuts
+
+
 class TreeIndex:
-    """A fitted tree, all vectors (packed) with their leaves, the vectors in each leaf, and the calibrated number of visits."""
+    """A fitted tree, all vectors (packed) with their leaves, the vectors in each leaf, and the calibrated limits."""
 
     def __init__(self, tree: KMeansTree, dim: int, placed: DataFrame, counts: dict[int, int]):
-        self.tree, self.dim, self.placed, self.counts, self.visits, self.recall = tree, dim, placed, counts, tree.n_leaves, 1.0
+        self.tree, self.dim, self.placed, self.counts = tree, dim, placed, counts
+        #: Visits of a query, and priority that its leaves may lie below its first; recall and share of the vectors visited, measured on other queries.
+        self.visits, self.margin, self.recall, self.visited = tree.n_leaves, float("inf"), 1.0, 1.0
 
     @classmethod
     def build(cls, vectors: DataFrame, fit_rows: int = FIT_ROWS, leaf_rows: int = LEAF_ROWS) -> TreeIndex | None:
@@ -216,86 +272,107 @@ class TreeIndex:
         return cls(tree, dim, placed, counts)
 
     def calibrate(self, queries: DataFrame, k: int = NEIGHBOURS, target: float = TARGET, most: int = CALIBRATION) -> None:
-        """Widen the visits until ``target`` of the sample's true neighbours lie in visited leaves."""
+        """Widen the visits until ``target`` of the true neighbours of half of the sample lie in visited leaves; the other half measures."""
         drawn = queries.orderBy(F.xxhash64("id"), "id").limit(most).select("id", "vec").toArrow()
         sample = [(q, v) for b in drawn.to_batches() for q, v in zip(b.column(0).to_pylist(), _matrix(b.column(1), self.dim))]
         if not sample:
             return
         truth = exact_neighbours(self.placed, sample, k)
         found = truth.join(self.placed.select(F.col("id").alias("vec_id"), "leaf"), "vec_id").select("query_id", "leaf").collect()
-        order = {q: {leaf: i for i, leaf in enumerate(self.tree.leaves(v))} for q, v in sample}
-        ranks = np.sort([order[r["query_id"]][r["leaf"]] for r in found])
-        if len(ranks):
-            self.visits = int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)]) + 1
-            self.recall = float((ranks < self.visits).mean())
+        # Of every query and leaf: the place in the order, and how far the priority has fallen.
+        walks = {}
+        for (q, _), p in zip(sample, self.tree.priorities(np.array([v for _, v in sample])).tolist()):
+            order = list(self.tree.leaves(p))
+            walks[q] = {leaf: (n + 1, order[0][1] - at) for n, (leaf, at) in enumerate(order)}
+        half = {q for q, _ in sample[::2]}
+        total = sum(self.counts.values())
+
+        def needed(which: int, of_half: bool) -> np.ndarray:
+            return np.sort([walks[r["query_id"]][r["leaf"]][which] for r in found if (r["query_id"] in half) == of_half])
+
+        def share(which: int, limit: float, of_half: bool) -> float:
+            visited = [sum(self.counts.get(x, 0) for x, w in walks[q].items() if w[which] <= limit) for q in walks if (q in half) == of_half]
+            return float(np.mean(visited) / total) if visited else 1.0
+
+        if not len(needed(0, True)):
+            return
+        limits = [float(x[int(np.ceil(target * len(x))) - 1]) for x in (needed(0, True), needed(1, True))]
+        which = int(share(1, limits[1], True) < share(0, limits[0], True))
+        self.visits, self.margin = (int(limits[0]), float("inf")) if which == 0 else (self.tree.n_leaves, limits[1])
+        measured = not len(needed(which, False))  # too few queries for two halves
+        self.recall = float((needed(which, measured) <= limits[which]).mean())
+        self.visited = share(which, limits[which], measured)
 
     def search(self, queries: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-        """query_id, rank, vec_id, score: the k nearest found of every query (columns id, vec: doubles, packed or not)."""
-        tree, dim, counts, visits = self.tree, self.dim, self.counts, self.visits
-        cuts = {leaf: -(-n // BLOCK) for leaf, n in counts.items()}
-        shared = queries.sparkSession.sparkContext.broadcast((tree, counts, cuts, visits))
-        fields = "leaf int, cut int, kind int, id long, vec binary"
+        """query_id, rank, vec_id, score: the k nearest found of every query (columns id, vec: packed doubles)."""
+        dim = self.dim
+        first, cuts = blocks_of(self.counts, BLOCK)
+        shared = queries.sparkSession.sparkContext.broadcast((self.tree, self.counts, first, cuts, self.visits, self.margin))
+        fields = "block int, kind int, leaf int, id long, vec binary, leaves binary"
+        names = [f.split()[0] for f in fields.split(", ")]
 
         def deal_vectors(batches):
-            cuts = shared.value[2]
+            first, cuts = shared.value[2:4]
             for batch in batches:
                 leaf, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-                cut = spread % np.array([cuts[x] for x in leaf.tolist()], dtype=np.int64).reshape(len(leaf))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut.astype(np.int32)), pa.array(np.zeros(len(leaf), np.int32)), batch.column(1), batch.column(2)], names=["leaf", "cut", "kind", "id", "vec"])
+                at = np.array([first[x] for x in leaf.tolist()], dtype=np.int64) + spread % np.array([cuts[x] for x in leaf.tolist()], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at.astype(np.int32)), pa.array(np.zeros(len(leaf), np.int32)), batch.column(0), batch.column(1), batch.column(2), pa.nulls(len(leaf), pa.binary())], names=names
+                )
 
         def deal_queries(batches):
-            tree, counts, cuts, visits = shared.value
+            tree, counts, first, cuts, visits, margin = shared.value
             for batch in batches:
-                at, leaf, cut = [], [], []
-                rows = _matrix(batch.column(1), dim)
-                ids, vecs = batch.column(0), _packed(rows)
-                for i, q in enumerate(rows):
-                    seen = 0
-                    for n, x in enumerate(tree.leaves(q)):
-                        # The answer needs k candidates beside the query's own row.
-                        if n >= visits and seen > k:
-                            break
-                        seen += counts.get(x, 0)
-                        for c in range(cuts.get(x, 0)):
-                            at.append(i)
-                            leaf.append(x)
-                            cut.append(c)
-                    if len(at) > 1 << 14:
-                        yield _dealt(ids, vecs, at, leaf, cut)
-                        at, leaf, cut = [], [], []
-                if at:
-                    yield _dealt(ids, vecs, at, leaf, cut)
-
-        def _dealt(ids, vecs, at, leaf, cut):
-            rows = pa.array(at)
-            return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(cut, pa.int32()), pa.array(np.ones(len(at), np.int32)), ids.take(rows), vecs.take(rows)], names=["leaf", "cut", "kind", "id", "vec"])
+                for a in range(0, batch.num_rows, QUERY_ROWS):
+                    part = batch.slice(a, QUERY_ROWS)
+                    rows = _matrix(part.column(1), dim)
+                    at, block, lists = [], [], []
+                    for i, (priority, own) in enumerate(zip(tree.priorities(rows).tolist(), part.column(2).to_pylist())):
+                        seen, best, mine = -own, None, {}
+                        for n_seen, (x, p) in enumerate(tree.leaves(priority)):
+                            best = p if best is None else best
+                            # The answer needs k candidates beside the query's own rows.
+                            if (n_seen >= visits or best - p > margin) and seen >= k:
+                                break
+                            if n := counts.get(x, 0):
+                                seen += n
+                                for c in range(cuts[x]):
+                                    mine.setdefault(first[x] + c, []).append(x)
+                        at += [i] * len(mine)
+                        block += mine
+                        lists += [np.array(xs, dtype="<i4").tobytes() for xs in mine.values()]
+                    where = pa.array(at, pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(block, pa.int32()), pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), pa.int32()), part.column(0).take(where), _packed(rows).take(where), pa.array(lists, pa.binary())], names=names
+                    )
 
         vectors = self.placed.select("leaf", "id", "vec").mapInArrow(deal_vectors, fields)
-        asked = queries.select("id", "vec").dropDuplicates(["id"]).mapInArrow(deal_queries, fields)
-        dealt = vectors.union(asked).repartition("leaf", "cut").sortWithinPartitions("leaf", "cut", "kind")
+        # Rows that repeat a query's id are no candidates; of different vectors under one id the least asks.
+        asked = queries.groupBy("id").agg(F.min("vec").alias("vec"), F.count("*").alias("own")).mapInArrow(deal_queries, fields)
+        dealt = vectors.union(asked).repartition("block").sortWithinPartitions("block", "kind")
 
         def answer(batches):
             key, parts, block = None, [], None
             for batch in batches:
-                cols = [batch.column(i).to_numpy() for i in range(3)]
+                cols = [batch.column(i).to_numpy() for i in range(2)]
                 bounds = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1 if batch.num_rows else []
                 for a, b in zip([0, *bounds], [*bounds, batch.num_rows]):
                     if a == b:
                         continue
-                    now = (cols[0][a], cols[1][a])
-                    if now != key:
-                        key, parts, block = now, [], None
+                    if cols[0][a] != key:
+                        key, parts, block = cols[0][a], [], None
                     run = batch.slice(a, b - a)
-                    if cols[2][a] == 0:
-                        parts.append((run.column(3).to_numpy(), _matrix(run.column(4), dim)))
+                    if cols[1][a] == 0:
+                        parts.append((run.column(3).to_numpy(), _matrix(run.column(4), dim), run.column(2).to_numpy()))
                         continue
                     if block is None:
-                        block = (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.int64), np.zeros((0, dim)))
+                        block = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros((0, dim)), np.zeros(0, np.int32)]
                     for s in range(0, b - a, QUERY_ROWS):
                         some = run.slice(s, QUERY_ROWS)
                         q_ids = some.column(3).to_numpy()
-                        yield _pairs(q_ids, *best_in_block(_matrix(some.column(4), dim), q_ids, block[1], block[0], k))
+                        visits = [np.frombuffer(x, dtype="<i4").tolist() for x in some.column(5).to_pylist()]
+                        yield _pairs(q_ids, *best_in_block(_matrix(some.column(4), dim), q_ids, block[1], block[0], k, block[2], visits))
 
         return _ranked(dealt.mapInArrow(answer, "query_id long, vec_id long, score double"), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
