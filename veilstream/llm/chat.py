@@ -3,7 +3,7 @@
 Calls and results are joined by (conversation, call id). A call may depend on other calls of its conversation; its level is
 one more than the highest of those, so ascending (level, turn) is a topological order. Levels are found for
 all conversations at once, by pointer doubling; calls that never get one stand behind a cycle. Arguments are
-validated against the fields of their tool, and a call is serialised as canonical JSON: keys sorted at every
+validated against the fields of their tool, nested objects, array items and allowed values too, and a call is serialised as canonical JSON: keys sorted at every
 depth, no white space, numbers as JSON numbers.
 
 No conversation is gathered in one task: all joins are by call id.
@@ -18,6 +18,8 @@ without a turn are ``unlinked``, a row for each; empty tables give no rows.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,22 +141,85 @@ def levels(calls: DataFrame) -> DataFrame:
     return settled.join(known, ["conv_id", "head"]).select("conv_id", "call_id", (F.col("level") + F.col("far")).alias("level"))
 
 
-def tool_schemas(spark: SparkSession, tools: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
-    """One row for each tool: name, and its fields with JSON type and whether they are required."""
-    rows = [(name, [(f, KINDS[kind], need) for f, (kind, need) in sorted(fields.items())]) for name, fields in sorted(tools.items())]
-    return spark.createDataFrame(rows, "name string, fields array<struct<field:string,kinds:array<string>,required:boolean>>")
+#: Between the steps of a path; ITEM is the step into an array.
+STEP, ITEM = "\x01", "[]"
+
+
+def _rules(fields: dict, parent: str = "") -> list[tuple]:
+    """(path, parent, name, kinds, required, allowed values as JSON, whether other fields are unknown) of every field, nested ones too.
+
+    A field is (kind, required) and, as a third, what is inside: fields for an object, the item's field for an array, the allowed values for others.
+    """
+    out = []
+    for name, (kind, required, *inside) in sorted(fields.items()):
+        path = f"{parent}{STEP}{name}"
+        inside = inside[0] if inside else None
+        allowed = [json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v in inside] if isinstance(inside, list) else None
+        out.append((path, parent, path[1:].replace(STEP, "."), KINDS[kind], required, allowed, isinstance(inside, dict)))
+        if isinstance(inside, dict):
+            out += _rules(inside, path)
+        elif isinstance(inside, tuple):
+            out += _rules({ITEM: (inside[0], False, *inside[2:])}, path)
+    return out
+
+
+RULE = "struct<path:string,parent:string,field:string,kinds:array<string>,required:boolean,allowed:array<string>,closed:boolean>"
+
 
+def tool_schemas(spark: SparkSession, tools: dict[str, dict[str, tuple]]) -> DataFrame:
+    """One row for each tool: name, and a rule for each of its fields, nested ones too."""
+    return spark.createDataFrame([(name, _rules(fields)) for name, fields in sorted(tools.items())], f"name string, fields array<{RULE}>")
 
-def argument_errors() -> Column:
-    """Errors of column arguments against column fields, sorted: missing, wrong type, unknown field."""
-    given = F.from_json("arguments", "map<string,variant>")
-    kind = lambda f: F.regexp_extract(F.schema_of_variant(given[f["field"]]), r"^[A-Z]+", 0)
-    has = lambda f: F.coalesce(F.map_contains_key(given, f["field"]), F.lit(False))
-    wrong = F.transform("fields", lambda f: F.when(~has(f) & f["required"], F.concat(F.lit("missing "), f["field"])).when(has(f) & ~F.array_contains(f["kinds"], kind(f)), F.concat(F.lit("type of "), f["field"])))
-    extra = F.transform(F.array_except(F.map_keys(given), F.transform("fields", lambda f: f["field"])), lambda x: F.concat(F.lit("unknown "), x))
-    is_object = F.regexp_extract(F.schema_of_variant(F.try_parse_json("arguments")), r"^[A-Z]+", 0) == "OBJECT"
-    found = F.array_sort(F.filter(F.concat(wrong, extra), lambda x: x.isNotNull()))
-    return F.when(F.coalesce(~is_object, F.lit(True)), F.array(F.lit("no object"))).when(F.col("fields").isNull(), F.array(F.lit("unknown tool"))).otherwise(found)
+
+def schema_depth(schemas: DataFrame) -> int:
+    """Steps of the longest path of the tools' fields."""
+    deepest = F.max(F.aggregate("fields", F.lit(0), lambda acc, f: F.greatest(acc, F.length(f["path"]) - F.length(F.replace(f["path"], F.lit(STEP), F.lit(""))))))
+    return schemas.agg(deepest.alias("x")).first().x or 0
+
+
+def _kind(v: Column) -> Column:
+    return F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
+
+
+def with_errors(rows: DataFrame, depth: int) -> DataFrame:
+    """rows with ``errors`` of column arguments against column fields, sorted: missing, wrong type, not an allowed value, unknown field.
+
+    Arguments are opened step by step, ``depth`` steps deep, and only where the tool says what is inside. Numbers of instances are compared, so a
+    field that one of several array items lacks is missing.
+    """
+    kind = "array<struct<path:string,value:variant>>"
+    inside = lambda e: F.exists("fields", lambda f: f["parent"] == e["path"])
+    step = lambda e, name, v: F.struct(F.concat(e["path"], F.lit(STEP), name).alias("path"), v.alias("value"))
+
+    def children(e):
+        fields = F.transform(F.map_entries(F.variant_get(e["value"], "$", "map<string,variant>")), lambda kv: step(e, kv["key"], kv["value"]))
+        items = F.transform(F.variant_get(e["value"], "$", "array<variant>"), lambda v: step(e, F.lit(ITEM), v))
+        return F.coalesce(F.when(inside(e) & (_kind(e["value"]) == "OBJECT"), fields).when(inside(e) & (_kind(e["value"]) == "ARRAY"), items), F.array().cast(kind))
+
+    root = F.try_parse_json("arguments")
+    rows = rows.withColumn("__root", root).withColumn("__level0", F.array(F.struct(F.lit("").alias("path"), F.col("__root").alias("value"))).cast(kind))
+    for i in range(depth):
+        rows = rows.withColumn(f"__level{i + 1}", F.flatten(F.transform(f"__level{i}", children)))
+    rows = rows.withColumn("__all", F.concat(*[F.col(f"__level{i}") for i in range(depth + 1)]))
+    at = lambda path: F.filter("__all", lambda e: e["path"] == path)
+    objects = lambda path: F.size(F.filter("__all", lambda e: (e["path"] == path) & (_kind(e["value"]) == "OBJECT")))
+
+    def told(f):
+        values = at(f["path"])
+        missing = F.when(f["required"] & (F.size(values) < objects(f["parent"])), F.concat(F.lit("missing "), f["field"]))
+        wrong = F.when(F.exists(values, lambda e: ~F.array_contains(f["kinds"], _kind(e["value"]))), F.concat(F.lit("type of "), f["field"]))
+        value = F.when(f["allowed"].isNotNull() & F.exists(values, lambda e: ~F.array_contains(f["allowed"], F.to_json(e["value"]))), F.concat(F.lit("value of "), f["field"]))
+        return F.array(missing, F.coalesce(wrong, value))
+
+    known = F.transform("fields", lambda f: f["path"])
+    closed = F.concat(F.array(F.lit("")), F.transform(F.filter("fields", lambda f: f["closed"]), lambda f: f["path"]))
+    parent = lambda e: F.regexp_replace(e["path"], rf"(?s){STEP}[^{STEP}]*$", "")
+    strange = F.filter("__all", lambda e: (e["path"] != "") & ~F.array_contains(known, e["path"]) & F.array_contains(closed, parent(e)))
+    extra = F.transform(strange, lambda e: F.concat(F.lit("unknown "), F.translate(F.substring(e["path"], F.lit(2), F.length(e["path"])), STEP, ".")))
+    found = F.array_sort(F.array_distinct(F.filter(F.concat(F.flatten(F.transform("fields", told)), extra), lambda x: x.isNotNull())))
+    is_object = F.coalesce(_kind(F.col("__root")) == "OBJECT", F.lit(False))
+    errors = F.when(~is_object, F.array(F.lit("no object"))).when(F.col("fields").isNull(), F.array(F.lit("unknown tool"))).otherwise(found)
+    return rows.withColumn("errors", errors).drop("__root", "__all", *[f"__level{i}" for i in range(depth + 1)])
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -164,7 +229,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     ordered = calls.join(levels(calls), ["conv_id", "call_id"], "left")
     joined = ordered.withColumn("has_call", F.lit(True)).join(results, ["conv_id", "call_id"], "full").join(schemas, "name", "left")
     status = F.when(F.col("has_call").isNull(), "orphan").when(F.col("has_result").isNull(), "unanswered").otherwise("linked")
-    rows = joined.withColumn("status", status).withColumn("errors", F.when(F.col("has_call"), argument_errors()).otherwise(F.array().cast("array<string>")))
+    judged = with_errors(joined.withColumn("status", status), schema_depth(schemas))
+    rows = judged.withColumn("errors", F.when(F.col("has_call"), F.col("errors")).otherwise(F.array().cast("array<string>")))
     body = F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), F.col("name"), F.col("content").alias("result"))
     return rows.select(
         "conv_id", "call_id", F.coalesce("turn", "answered").alias("turn"), "level", "status", "errors",
