@@ -107,10 +107,28 @@ def test_language_model(spark):
     assert lang[:3] == ["und"] * 3 and rejected[:3].all() and lang[4] == "und" and not rejected[3] and (score[:3] == 0).all()
     assert langid.identify(docs.limit(0), model).count() == 0
     wide = docs.withColumns({"score": F.lit(1), "rejected": F.lit("x")}).unionByName(docs.limit(1).withColumns({"text": F.lit(None).cast("string"), "score": F.lit(1), "rejected": F.lit("x")}))
+    clash = langid.identify(docs.limit(3).select("doc_id", "text", F.lit("x").alias("score")), model)
+    assert clash.columns == ["doc_id", "text", "lang_pred", "score", "rejected"] and clash.count() == 3
     kept = langid.filter_language(wide)
     assert kept.columns == wide.columns and kept.where("text is null").count() == 0 and kept.count() >= 0.97 * docs.count()
 
 
+def test_more_languages_than_dimensions(spark):
+    """No language is left out, and a long text is judged like its parts."""
+    rng = np.random.default_rng(3)
+    alphabets = ["".join(chr(0x3B1 + 24 * (i % 3) + c) if i % 2 else chr(97 + c) for c in rng.permutation(24)[:5]) for i in range(30)]
+    text = lambda i, n: " ".join("".join(rng.choice(list(alphabets[i]), 5)) for _ in range(n))
+    rows = [(100 * i + j, text(i, 60), f"l{i:02d}") for i in range(30) for j in range(40 if i else 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.language_digest(docs).join(docs, "doc_id").where("held_out").collect()
+    model = langid.fit(langid.labelled_sample(docs.where(~langid.held_out())))
+    assert len(model.languages) == 30 and model.weights is not None and model.table.shape == (langid.BUCKETS, langid.DIMENSIONS)
+    assert np.mean([r.lang == r.lang_pred for r in got]) >= 0.9
+    long = text(3, 60_000).encode()
+    lang, score, _ = model.predict([long, long, b"", None])
+    assert lang == ["l03", "l03", "und", "und"] and score[0] == score[1] > 0.5
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in langid.language_digest(docs).collect()} == {"und"}

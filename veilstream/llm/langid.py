@@ -5,14 +5,15 @@ letters within words, with a gap at one end at most, hashed into BUCKETS rows of
 table. The mean of the rows goes through a linear softmax. Table and weights are trained together by
 stochastic gradient descent in numpy.
 
-The fit takes at most SAMPLE_ROWS labelled rows, dealt evenly over languages and drawn by a hash of id and
-text, whole texts each; for every row it also learns from one short stretch, so that short
-texts are judged as well. A fifth of the rows is held back to calibrate: a temperature that makes the
+The fit takes at most SAMPLE_ROWS labelled rows (or ROWS_EACH for each language, if that is more), dealt evenly over languages and
+drawn by a hash of id and text, whole texts each; for every row it also learns from one short stretch, so that short
+texts are judged as well. Workers count the subwords; the driver gets counts, at most BUCKETS of them a row, and no texts. A fifth of the rows is held back to calibrate: a temperature that makes the
 probabilities fit, and a rejection bound that at most REJECT_RATE of the rightly named texts fall
 below.
 
-Prediction covers every whole text, in Arrow batches, by numpy. As averaging is linear, the product of table and
-weights is all that executors get: BUCKETS x languages floats.
+Prediction covers every whole text, in Arrow batches, by numpy, in runs of CHUNK characters. As averaging is linear, the product of table and
+weights does for few languages; with more than DIMENSIONS the two stay apart, so a model has at most
+(BUCKETS + languages) x DIMENSIONS floats.
 
 Defined results: null and letterless texts are ``und`` with score 0 and rejected; ties go to the first
 language in order; repeated rows are judged each; without labelled rows every text is ``und``;
@@ -21,6 +22,8 @@ input columns stay as they are.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +34,7 @@ from veilstream.session import ship_package
 
 #: Most labelled rows that a fit takes, over all languages.
 SAMPLE_ROWS = 2400
-#: Languages that a model tells apart at most; the rarest labels beyond are not learned.
-MAX_LANGUAGES = 400
+ROWS_EACH = 20
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 MAX_N = 4
@@ -95,14 +97,18 @@ def subwords(text: bytes) -> np.ndarray:
 
 
 class LanguageModel:
-    """The product of embedding table and weights (buckets x languages), bias, temperature and rejection bound."""
+    """Embedding table (buckets x dimensions) and weights (dimensions x languages; None if the table is their product), bias, temperature and rejection bound."""
+
+    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, weights: np.ndarray | None = None, temperature: float = 1.0, bound: float = 0.0):
+        self.languages, self.table, self.weights, self.bias, self.temperature, self.bound = languages, table, weights, bias, temperature, bound
 
-    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float = 1.0, bound: float = 0.0):
-        self.languages, self.table, self.bias, self.temperature, self.bound = languages, table, bias, temperature, bound
+    def outputs(self, means: np.ndarray) -> np.ndarray:
+        """Logits, before the temperature, of averaged rows of the table."""
+        return (means if self.weights is None else means @ self.weights) + self.bias
 
     def logits(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Logits of every text, and how many subwords it has."""
-        sums, counts = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), dtype=np.int64)
+        sums, counts = np.zeros((len(texts), self.table.shape[1])), np.zeros(len(texts), dtype=np.int64)
         k = 0
         while k < len(texts):
             streams, size, first = [], 0, k
@@ -119,7 +125,7 @@ class LanguageModel:
                 if len(rows):
                     sums[first + rows] += np.add.reduceat(self.table[buckets], cut[rows], axis=0, dtype=np.float64)
                     counts[first + rows] += np.diff(cut)[rows]
-        return (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature, counts
+        return self.outputs(sums / np.maximum(counts, 1)[:, None]) / self.temperature, counts
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is rejected, for every text."""
@@ -137,38 +143,53 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> list[tuple[bytes, str]]:
-    """At most about ``rows`` labelled texts, as many of each language as far as there are, by a hash of id and text."""
+def examples_of(text: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, their shares) of a whole text and of one short stretch of it, drawn by the text itself."""
+    rng, out = np.random.default_rng(zlib.crc32(text)), []
+    a = int(rng.integers(0, max(1, len(text) - 30)))
+    for part in (text, text[a : a + int(rng.integers(20, 240))]):
+        grams = subwords(part)
+        if len(grams):
+            b, n = np.unique(grams, return_counts=True)
+            out.append((b, (n / n.sum()).astype(np.float32)))
+    return out
+
+
+def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> list[tuple[str, list]]:
+    """(language, examples) of at most about ``rows`` labelled texts, as many of each language as far as there are, by a hash of id and text."""
+    spark = docs.sparkSession
+    ship_package(spark)
     named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = named.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = named.groupBy(F.col(lang_col).cast("string").alias("lang")).count().collect()
     if not counts:
         return []
-    share = {r["lang"]: min(1.0, rows / len(counts) / r["count"]) for r in counts}
-    shares = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    # The id takes part, so that a large group of copies is thinned like other rows.
-    drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 20)) < F.coalesce(shares[F.col("lang")], F.lit(0.0)) * (1 << 20)
-    picked = named.withColumn("lang", F.col(lang_col).cast("string")).where(drawn)
-    got = picked.select(F.col(text_col).cast("string").cast("binary").alias("text"), "lang").collect()
-    return sorted((bytes(r["text"]), r["lang"]) for r in got)
-
-
-def fit(sample: list[tuple[bytes, str]], seed: int = SEED) -> LanguageModel:
-    """Train on labelled texts; the same sample gives the same model."""
-    languages = sorted({lang for _, lang in sample})
+    each = max(rows / len(counts), ROWS_EACH)
+    shares = spark.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, share double")
+    # One row for each language; the id takes part in the draw, so that a large group of copies is thinned like other rows.
+    lean = named.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("draw"))
+    drawn = lean.join(F.broadcast(shares), "lang").where(F.pmod("draw", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+
+    def count(batches):
+        for batch in batches:
+            for lang, draw, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                for i, (b, share) in enumerate(examples_of(text.as_py())):
+                    yield pa.RecordBatch.from_pylist([{"lang": lang, "draw": draw, "part": i, "buckets": b.astype("<u4").tobytes(), "shares": share.astype("<f4").tobytes()}])
+
+    got = drawn.select("lang", "draw", F.col("text").cast("binary")).mapInArrow(count, "lang string, draw long, part long, buckets binary, shares binary").collect()
+    out: dict[tuple, list] = {}
+    for r in sorted(got, key=lambda r: (r["lang"], r["draw"], r["part"], bytes(r["buckets"]), bytes(r["shares"]))):
+        out.setdefault((r["lang"], r["draw"]), []).append((np.frombuffer(r["buckets"], "<u4").astype(np.int64), np.frombuffer(r["shares"], "<f4")))
+    return [(lang, parts) for (lang, _), parts in out.items()]
+
+
+def fit(sample: list[tuple[str, list]], seed: int = SEED) -> LanguageModel:
+    """Train on labelled examples; the same sample gives the same model."""
+    languages = sorted({lang for lang, _ in sample})
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(sample))
-    examples = []
-    for i in order:
-        text, lang = sample[i]
-        y = languages.index(lang)
-        a = int(rng.integers(0, max(1, len(text) - 30)))
-        for part in (text, text[a : a + int(rng.integers(20, 240))]):
-            grams = subwords(part)
-            if len(grams):
-                b, n = np.unique(grams, return_counts=True)
-                examples.append((b, (n / n.sum()).astype(np.float32), y))
+    number = {lang: i for i, lang in enumerate(languages)}
+    examples = [(b, share, number[sample[i][0]]) for i in rng.permutation(len(sample)) for b, share in sample[i][1]]
     held, train = examples[: len(examples) // 5], examples[len(examples) // 5 :]
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights, bias = np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
@@ -186,13 +207,16 @@ def fit(sample: list[tuple[bytes, str]], seed: int = SEED) -> LanguageModel:
             bias -= rate * 0.1 * error
             # A row moves by its share; the factor makes up for the many rows of a text.
             table[b] -= (rate * len(b) ** 0.5) * share[:, None] * back[None, :]
-    model = LanguageModel(languages, (table @ weights).astype(np.float32), bias.astype(np.float64))
+    few = len(languages) <= DIMENSIONS
+    model = LanguageModel(languages, (table @ weights).astype(np.float32) if few else table, bias.astype(np.float64), None if few else weights)
     _calibrate(model, held or train)
     return model
 
 
 def _calibrate(model: LanguageModel, held: list) -> None:
-    logits = np.array([share @ model.table[b] + model.bias for b, share, _ in held], dtype=np.float64)
+    if not held:
+        return
+    logits = np.array([model.outputs((share @ model.table[b])[None, :])[0] for b, share, _ in held], dtype=np.float64)
     y = np.array([e[2] for e in held])
     grid = np.geomspace(0.5, 20, 61)
     loss = [-np.log(_softmax(logits / t)[np.arange(len(y)), y] + 1e-300).mean() for t in grid]
@@ -204,12 +228,10 @@ def _calibrate(model: LanguageModel, held: list) -> None:
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of ``keep`` (default: all) with lang_pred, score and rejected."""
+    """The columns of ``keep`` (default: all) with lang_pred, score and rejected, which replace columns of these names."""
     spark = docs.sparkSession
     ship_package(spark)
-    keep = docs.columns if keep is None else keep
-    if {"lang_pred", "score", "rejected"} & set(keep):
-        raise ValueError("rename lang_pred, score or rejected first")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "rejected")]
     shared = spark.sparkContext.broadcast(model)
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
     rows, text_of = with_text(docs, text_col, keep)
