@@ -32,6 +32,8 @@ from veilstream.session import default_parallelism, ship_package
 #: A block ends once it has this much text, or that many distinct words.
 BLOCK_BYTES = 32 << 20
 BLOCK_WORDS = 600_000
+#: Words that a task remembers the ids of, at most; beyond that it starts over, and encodes a word again where it returns.
+TABLE_WORDS = 4_000_000
 #: Positions that are filled in at once.
 FILL = 1 << 18
 DECODE_BYTES = 1 << 23
@@ -149,6 +151,8 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
                 if row["part"] != part:
                     part, table = row["part"], {}
                 list_ = zstandard.ZstdDecompressor().decompress(row["body"]).split(b"\n")
+                if len(table) > TABLE_WORDS:
+                    table = {}
                 fresh = [w for w in list_ if w not in table]
                 table.update(zip(fresh, enc.encode_chunks(fresh)))
                 ids = [table[w] for w in list_]
@@ -221,9 +225,14 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """encoded with ``text``: ids joined to the pieces of the vocabulary."""
+    """encoded with ``text`` (which replaces a column of that name): ids joined to the pieces of the vocabulary.
+
+    The join is a lookup of each position's id in the table of pieces, which the size of the vocabulary bounds and every worker holds;
+    a tokenizer with a decoder of its own (the given one has none) decodes each document by it.
+    """
     ship_package(encoded.sparkSession)
     path = tokenizer_path or word_table_path()
+    encoded = encoded.drop("text")
     names = encoded.columns
 
     def decode(batches):
