@@ -47,13 +47,64 @@ def test_propagation(spark):
     for (a, b), n in edges.items():
         m[hosts.index(a), hosts.index(b)] = n
     for way, seed, col in ((m, "good.org", "trust"), (m.T, "bad.com", "distrust")):
-        p = way / np.maximum(way.sum(axis=1, keepdims=True), 1)
-        start = 0.15 * np.eye(7)[hosts.index(seed)]
-        score = start
-        for _ in range(urls.ROUNDS):
-            score = start + urls.DAMPING * score @ p
+        exact = brute_walk(way, np.eye(7)[hosts.index(seed)])
         for r in got.values():
-            assert getattr(r, col) == pytest.approx(score[hosts.index(r.host)], abs=1e-9)
+            assert getattr(r, col) == pytest.approx(exact[hosts.index(r.host)], abs=0.01)
+
+
+def brute_walk(m, seeds, rounds=400):
+    """Personalised PageRank; what reaches hosts without links goes back to the seeds."""
+    restart = seeds / seeds.sum()
+    p = m / np.maximum(m.sum(axis=1, keepdims=True), 1e-300)
+    score = restart
+    for _ in range(rounds):
+        moved = urls.DAMPING * (score @ p)
+        score = moved + (1 - moved.sum()) * restart
+    return score
+
+
+def test_walk_on_a_larger_graph(spark):
+    """Ten thousand hosts, a hub that a third of all links point to, hosts without links, in both directions."""
+    rng = np.random.default_rng(2)
+    n = 10_000
+    src, dst = rng.integers(0, n // 2, 30_000), rng.integers(0, n, 30_000)
+    dst[rng.random(30_000) < 1 / 3] = 7
+    count = {}
+    for a, b in zip(src.tolist(), dst.tolist()):
+        if a != b:
+            count[a, b] = count.get((a, b), 0) + 1
+    seeds = {1: list(range(0, 200, 2)), -1: [7, 9, 11]}
+    edges = spark.createDataFrame([(str(a), str(b), c) for (a, b), c in count.items()], "src string, dst string, n long")
+    got = urls.propagate(edges, spark.createDataFrame([(w, str(h)) for w, hs in seeds.items() for h in hs] + [(1, "0")], "way int, host string")).collect()
+    a, b, c = np.array([(a, b, c) for (a, b), c in count.items()]).T
+    for way, (x, y) in ((1, (a, b)), (-1, (b, a))):
+        total = np.bincount(x, weights=c, minlength=n)
+        restart = np.zeros(n)
+        restart[seeds[way]] = 1 / len(seeds[way])
+        score = restart
+        for _ in range(300):
+            moved = np.bincount(y, weights=urls.DAMPING * score[x] * c / total[x], minlength=n)
+            score = moved + (1 - moved.sum()) * restart
+        mine = np.zeros(n)
+        for r in got:
+            if r.way == way:
+                mine[int(r.host)] = r.score
+                assert r.relative == pytest.approx(r.score * len(seeds[way]))
+        assert mine.sum() == pytest.approx(1) and np.abs(mine - score).sum() < urls.TOLERANCE * urls.DAMPING / (1 - urls.DAMPING) + 1e-9
+
+
+def test_many_rules_are_joined(spark):
+    rng = np.random.default_rng(4)
+    name = lambda: ".".join("abc"[i] for i in rng.integers(0, 3, int(rng.integers(1, 4))))
+    rules = sorted({(("allow", "block")[int(rng.integers(0, 2))], name(), "/" + name().replace(".", "/")) for _ in range(400)})
+    rules = list({(h, p): (v, h, p) for v, h, p in rules}.values())
+    rows = [(i, f"x://{name()}.{name()}/{name().replace('.', '/')}?q") for i in range(300)] + [(300, None), (301, "x://zzz/a")]
+    rows += [rows[0], rows[0]]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("html", F.lit(None).cast("string"))
+    assert len(rules) > 20
+    parted = pages.drop("html").withColumns(urls.url_parts(F.col("url")))
+    sorted_rows = lambda df: sorted(map(tuple, df.select("page_id", "rule", "ruled").collect()), key=str)
+    assert sorted_rows(urls.joined_rules(parted, rules)) == sorted_rows(parted.withColumns(urls.rule_columns(rules)))
 
 
 def test_tool_calls(spark):
@@ -84,6 +135,35 @@ def test_tool_calls(spark):
     assert chat.link_turns(messages).count() > 0
 
 
+def test_nested_arguments(spark):
+    tools = {
+        "draw": {
+            "mode": ("string", True, ["fast", "slow"]),
+            "at": ("object", True, {"x": ("number", True), "deep": ("object", False, {"n": ("integer", True)}), "any": ("object", False)}),
+            "tags": ("array", False, ("string", True)),
+            "points": ("array", False, ("object", True, {"x": ("number", True)})),
+            "level": ("integer", False, [1, 2]),
+        }
+    }
+    cases = [
+        ({"mode": "fast", "at": {"x": 1.5}}, []),
+        ({"mode": "medium", "at": {"x": 1}, "level": 3}, ["value of level", "value of mode"]),
+        ({"mode": 1, "at": {}}, ["missing at.x", "type of mode"]),
+        ({"mode": "slow", "at": {"x": "a", "y": 1, "any": {"q": {"r": 1}}, "deep": {"n": 1.5, "m": 0}}}, ["type of at.deep.n", "type of at.x", "unknown at.deep.m", "unknown at.y"]),
+        ({"mode": "slow", "at": 5}, ["type of at"]),
+        ({"mode": "slow", "at": {"x": 1}, "tags": ["a", 2], "points": [{"x": 1}, {}, 3]}, ["missing points.[].x", "type of points.[]", "type of tags.[]"]),
+        ({"mode": "slow", "at": {"x": 1}, "tags": [], "points": [], "level": 2}, []),
+        ({}, ["missing at", "missing mode"]),
+    ]
+    calls = spark.createDataFrame([(1, f"c{i}", i, "draw", json.dumps(a), None) for i, (a, _) in enumerate(cases)] + [(1, "n", 99, "draw", None, ["n"])], "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = {r.call_id: r for r in chat.link_tool_calls(calls, results, chat.tool_schemas(spark, tools)).collect()}
+    for i, (_, want) in enumerate(cases):
+        assert got[f"c{i}"].errors == want and got[f"c{i}"].valid == (not want), cases[i]
+    # Null arguments are no object; a call that waits for itself has no level.
+    assert got["n"].errors == ["no object"] and got["n"].level is None and got["c0"].level == 0
+
+
 def test_long_chains_are_ordered(spark):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for c in range(3) for t in range(2 * c + 3)]
     got = chat.link_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("status <> 'orphan'").collect()
@@ -163,11 +243,37 @@ def test_few_vectors(spark):
 def test_best_bin_first_visits_every_leaf_once():
     rng = np.random.default_rng(5)
     tree = ann.KMeansTree(rng.normal(size=(2000, 8)))
-    order = list(tree.leaves(rng.normal(size=8)))
-    assert sorted(order) == list(range(tree.n_leaves)) and tree.n_leaves > 8
+    order = list(tree.leaves(tree.priorities(rng.normal(size=(1, 8)))[0].tolist()))
+    assert sorted(x for x, _ in order) == list(range(tree.n_leaves)) and tree.n_leaves > 8
     assert len(ann.KMeansTree(np.ones((500, 4))).centres) == 1
 
 
+def test_blocks_hold_whole_leaves_or_cuts():
+    counts = {0: 5, 1: 3, 2: 40, 4: 2, 5: 9}
+    first, cuts = ann.blocks_of(counts, 10)
+    assert first == {0: 0, 1: 0, 2: 1, 4: 5, 5: 6} and cuts == {0: 1, 1: 1, 2: 4, 4: 1, 5: 1}
+
+
+def test_repeated_ids_hide_no_copy(spark):
+    """A query's own repeated rows take no place of its copies."""
+    rows = [(20, [1.0, 0.0])] * 30 + [(21, [1.0, 0.0]), (22, [1.0, 0.0]), (23, [0.5, 0.0])]
+    got = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(20, 21), (20, 22), (20, 23)]
+
+
+def test_recall_on_given_vectors(spark):
+    """The calibrated search of the test table reaches its recall on queries that did not calibrate it, without visiting half of the vectors of one with clusters."""
+    index = ann.TreeIndex.build(ann.usable_vectors(spark.read.parquet(f"{SF}/embeddings.parquet")))
+    index.calibrate(index.placed, most=400)
+    assert index.recall >= 0.9
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 16))
+    rows = [(i, (centres[i % 30] + 0.2 * rng.normal(size=16)).tolist()) for i in range(3000)]
+    index = ann.TreeIndex.build(ann.usable_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")))
+    index.calibrate(index.placed.where("id % 20 = 0"))
+    assert index.recall >= 0.9 and index.visited < 0.2
+
+
 def test_queries_match_their_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "pages", "conversations"):
