@@ -8,7 +8,7 @@ so batches are drawn from equal lengths.
 One pass over the input, without a shuffle; a worker holds one Arrow batch.
 
 Defined results: null and empty texts give the end id alone (one piece of length 1); repeated rows are
-packed once each; an empty table gives no rows; columns other than those named are not read.
+packed once each; an empty table gives no rows; texts are encoded whole, one at a time; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -87,4 +87,4 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def packing_digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "bucket", "sequence_id", "offset")
