@@ -57,14 +57,22 @@ class Settings:
 
 
 def usable_custom(patterns) -> tuple[CustomPattern, ...]:
-    """Patterns that compile; others are left out."""
+    """Patterns that compile and don't match the empty text; others are left out. With a session Java judges, which runs them; without one
+    Python does, and ``redact`` asks Java once more."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        from veilstream.operators.redact import usable_pattern
+
+        return tuple(p for p in patterns if usable_pattern(spark, p.regex))
     out = []
     for p in patterns:
         try:
-            re.compile(p.regex)
+            if re.compile(p.regex).search("") is None:
+                out.append(p)
         except re.error:
             continue
-        out.append(p)
     return tuple(out)
 
 

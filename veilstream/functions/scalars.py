@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,19 +17,25 @@ ROUTES = {
     "openai": ["gpt-", "gpt4", "text-embedding", "dall-e", "whisper", "tts", "o1-", "o3-", "o4-", "chatgpt-"],
 }
 LOCAL_ROUTE = "ollama"
-#: Error variant, HTTP status, error type.
+#: Error variant, HTTP status, error type, what its message begins with (or all of it, where no detail follows).
 ERRORS = [
-    ("Config", 500, "server_error"),
-    ("Redis", 503, "service_unavailable"),
-    ("Io", 500, "server_error"),
-    ("Network", 502, "upstream_error"),
-    ("Serialization", 400, "invalid_request_error"),
-    ("Unknown", 500, "server_error"),
-    ("Axum", 500, "server_error"),
-    ("Nlp", 500, "server_error"),
-    ("Internal", 500, "server_error"),
-    ("BadRequest", 400, "invalid_request_error"),
+    ("Config", 500, "server_error", "Config error: "),
+    ("Redis", 503, "service_unavailable", "Redis unavailable: "),
+    ("Io", 500, "server_error", "IO error: "),
+    ("Network", 502, "upstream_error", "Upstream error: "),
+    ("Serialization", 400, "invalid_request_error", "Serialization error: "),
+    ("Unknown", 500, "server_error", "Unknown error: "),
+    ("Axum", 500, "server_error", "Axum error: "),
+    ("Nlp", 500, "server_error", "NLP error: "),
+    ("Internal", 500, "server_error", "Internal server error"),
+    ("BadRequest", 400, "invalid_request_error", ""),
 ]
+NO_DETAIL = ["Internal"]
+#: The answer to a blocked request, whatever the reason.
+BLOCKED_STATUS, BLOCKED_TYPE, BLOCKED_CODE = 400, "invalid_request_error", "prompt_injection_detected"
+BLOCKED_MESSAGE = "Request blocked: adversarial phrase detected."
+#: Fixed value: bearer tokens that go to the public service.
+PUBLIC_KEY = "Bearer sk-"
 
 
 def luhn(number: Column) -> Column:
@@ -59,9 +68,23 @@ def route_model(model: Column) -> Column:
     return out.otherwise(LOCAL_ROUTE)
 
 
-def token_count(text: Column) -> Column:
-    """Bytes by four: the count where no tokenizer is at hand."""
-    return F.floor(F.octet_length(F.coalesce(text, F.lit(""))) / 4).cast("long")
+def token_count(text: Column, tokenizer_path: str | None = None) -> Column:
+    """Tokens without special ones by the tokenizer file, read once by each worker; without a file bytes by four."""
+    if tokenizer_path is None:
+        return F.floor(F.octet_length(F.coalesce(text, F.lit(""))) / 4).cast("long")
+
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        for batch in batches:
+            found = tokenizer.encode_batch(["" if t is None else t for t in batch], add_special_tokens=False)
+            yield pd.Series([len(e.ids) for e in found], dtype="int64")
+
+    count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(count, "long")(text)
 
 
 def strip_bearer(header: Column) -> Column:
@@ -82,14 +105,33 @@ def client_ip(forwarded: Column, real: Column, peer: Column, trust_proxy: Column
     return F.coalesce(F.when(trusted, F.coalesce(valid(first), valid(real))), peer, F.lit("127.0.0.1"))
 
 
-def error_columns(variant: Column) -> dict[str, Column]:
-    """status and type of an error variant."""
-    status = kind = None
-    for name, code, what in ERRORS:
+def error_columns(variant: Column, detail: Column | None = None) -> dict[str, Column]:
+    """status, type, code and message of an error variant."""
+    status = kind = message = None
+    for name, code, what, text in ERRORS:
+        told = F.lit(text) if name in NO_DETAIL or detail is None else F.concat(F.lit(text), F.coalesce(detail, F.lit("")))
         hit = variant == name
         status = F.when(hit, code) if status is None else status.when(hit, code)
         kind = F.when(hit, what) if kind is None else kind.when(hit, what)
-    return {"status": status, "type": kind}
+        message = F.when(hit, told) if message is None else message.when(hit, told)
+    return {"status": status, "type": kind, "code": status, "message": message}
+
+
+def error_body(variant: Column, detail: Column | None = None) -> Column:
+    """The JSON answer for an error variant."""
+    c = error_columns(variant, detail)
+    return F.to_json(F.struct(F.struct(c["message"].alias("message"), c["type"].alias("type"), c["code"].alias("code")).alias("error")))
+
+
+def blocked_body() -> Column:
+    """The JSON answer to a blocked request."""
+    return F.to_json(F.struct(F.struct(F.lit(BLOCKED_MESSAGE).alias("message"), F.lit(BLOCKED_TYPE).alias("type"), F.lit(BLOCKED_CODE).alias("code")).alias("error")))
+
+
+def models_route(authorization: Column) -> dict[str, Column]:
+    """Where a listing of models goes, and whether the header goes along: a public key to the public service, all else to the local server."""
+    public = F.coalesce(authorization.startswith(PUBLIC_KEY), F.lit(False))
+    return {"route": F.when(public, "openai").otherwise(LOCAL_ROUTE), "forwards": public}
 
 
 def within_body_limit(body: Column, limit: int) -> Column:

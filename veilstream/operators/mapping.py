@@ -5,10 +5,19 @@ The key is the hash of the real value, over all texts: the first category that s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
+from veilstream.config import CustomPattern, Policy
 from veilstream.functions.scalars import decrypt, encrypt, synthetic_id
+from veilstream.operators.redact import NER, REDACTED, SUBS, redact, unmask
+from veilstream.session import materialise
+
+ENTRY = "real_hash string, synthetic string, real_enc string, created_at timestamp, expires_at timestamp"
+ENTITY_LABELS = ["PER", "LOC", "ORG"]
 
 #: Categories that get realistic fakes in realistic mode.
 REALISTIC = ["EMAIL", "PER", "IP", "PHONE"]
@@ -52,7 +61,10 @@ def with_synthetic(values: DataFrame, realistic: bool = False) -> DataFrame:
 
 def build_mapping(values: DataFrame, key: str, created_at: Column, ttl_seconds: int, realistic: bool = False) -> DataFrame:
     """real_hash, synthetic, real_enc, created_at, expires_at."""
-    made = with_synthetic(values, realistic)
+    return _entries(with_synthetic(values, realistic), key, created_at, ttl_seconds)
+
+
+def _entries(made: DataFrame, key: str, created_at: Column, ttl_seconds: int) -> DataFrame:
     return made.select("real_hash", "synthetic", encrypt(F.col("real"), key).alias("real_enc"), created_at.alias("created_at"), (created_at + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("expires_at"))
 
 
@@ -61,11 +73,41 @@ def live(mapping: DataFrame, now: Column) -> DataFrame:
     return mapping.where(F.col("expires_at") > now)
 
 
-def get_or_create(mapping: DataFrame, values: DataFrame, key: str, now: Column, ttl_seconds: int) -> DataFrame:
-    """The mapping with entries for all values: what is there and live stays, the rest is made."""
+def get_or_create(mapping: DataFrame, values: DataFrame, key: str, now: Column, ttl_seconds: int, realistic: bool = False) -> DataFrame:
+    """The mapping with entries for all values (real, real_hash, category): what is there and live stays, the rest is made.
+
+    A fake that the mapping has for another value is not given again: the value gets its token.
+    """
     have = live(mapping, now)
-    fresh = values.join(have.select("real_hash"), "real_hash", "left_anti")
-    return have.unionByName(build_mapping(fresh, key, now, ttl_seconds))
+    fresh = with_synthetic(values.join(have.select("real_hash"), "real_hash", "left_anti"), realistic)
+    if realistic:
+        taken = have.select("synthetic", F.lit(True).alias("__taken")).dropDuplicates(["synthetic"])
+        fresh = fresh.join(taken, "synthetic", "left").withColumn("synthetic", F.when(F.col("__taken"), synthetic_id(F.col("category"), F.col("real"))).otherwise(F.col("synthetic")))
+    return have.unionByName(_entries(fresh, key, now, ttl_seconds))
+
+
+def load_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """The last snapshot of a mapping's folder; empty where there is none."""
+    kept = spark.createDataFrame([], f"{ENTRY}, snapshot int")
+    try:
+        kept = spark.read.schema(kept.schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    last = kept.agg(F.max("snapshot")).first()[0]
+    return kept.where(F.col("snapshot") == (last or 0)).drop("snapshot")
+
+
+def save_mapping(mapping: DataFrame, path: str) -> None:
+    """A new snapshot beside the others, which stay for readers that hold them. One writer at a time."""
+    spark = mapping.sparkSession
+    try:
+        last = spark.read.schema(f"{ENTRY}, snapshot int").parquet(path).agg(F.max("snapshot")).first()[0]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        last = None
+    mapping.select(*[f.split()[0] for f in ENTRY.split(", ")]).write.parquet(f"{path.rstrip('/')}/snapshot={(last or 0) + 1}")
 
 
 def apply_mapping(values: DataFrame, mapping: DataFrame, fail_open: bool = False) -> DataFrame:
@@ -79,3 +121,53 @@ def read_mapping(mapping: DataFrame, synthetics: DataFrame, key: str) -> DataFra
     """synthetic and real for each requested synthetic value; what can't be decrypted is a miss."""
     entries = mapping.select("synthetic", "real_enc")
     return synthetics.join(entries, "synthetic", "left").select("synthetic", decrypt(F.col("real_enc"), key).alias("real"))
+
+
+def redact_mapped(
+    df: DataFrame,
+    text_col: str,
+    key: str,
+    now: Column,
+    ttl_seconds: int,
+    mapping: DataFrame | None = None,
+    realistic: bool = True,
+    create: bool = True,
+    fail_open: bool = False,
+    policy: Policy = Policy(),
+    custom: tuple[CustomPattern, ...] = (),
+    entities: Callable[[Column], Column] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(df redacted as by ``redact`` but with the mapping's synthetic values, the mapping with all values).
+
+    Texts are redacted with tokens and written; their distinct values go through ``get_or_create``; then each text's tokens are
+    replaced by what the mapping has. Without ``create`` (a store that can't be written) values that it lacks fail the job, or become
+    [REDACTED] if ``fail_open``: no count, no substitution, and one more in column ``lost``.
+    """
+    made = materialise(redact(df, text_col, policy, custom, entities=entities).withColumn("__row", F.monotonically_increasing_id()), "redacted")
+    have = df.sparkSession.createDataFrame([], ENTRY) if mapping is None else mapping
+    store = get_or_create(have, distinct_values(made, "__row"), key, now, ttl_seconds, realistic) if create else live(have, now)
+    store = materialise(store, "mapping")
+    found = made.select("__row", F.posexplode("substitutions").alias("__at", "s")).withColumn("real_hash", F.sha2("s.real", 256))
+    met = found.join(store.select("real_hash", F.col("synthetic").alias("__new")), "real_hash", "left")
+    lost = F.lit(REDACTED) if fail_open else F.raise_error("a value has no mapping").cast("string")
+    pair = F.struct("__at", F.col("s.synthetic").alias("token"), F.coalesce("__new", lost).alias("synthetic"), F.col("s.real").alias("real"), F.col("s.category").alias("category"), F.col("__new").isNull().alias("lost"))
+    # A text's substitutions, which its length bounds.
+    pairs = met.groupBy("__row").agg(F.array_sort(F.collect_list(pair)).alias("__pairs"))
+    out = made.join(pairs, "__row", "left").withColumn("__pairs", F.coalesce("__pairs", F.array().cast("array<struct<__at:int,token:string,synthetic:string,real:string,category:string,lost:boolean>>")))
+    kept = F.filter("__pairs", lambda p: ~p["lost"])
+    group = lambda p: F.when(p["category"].isin(ENTITY_LABELS), NER).otherwise(p["category"])
+    n = lambda c: F.size(F.filter(kept, lambda p: group(p) == c)).cast("long")
+    counts = F.transform(F.array_distinct(F.transform(kept, group)), lambda c: F.struct(c.alias("key"), n(c).alias("value")))
+    tokens = F.transform("__pairs", lambda p: F.struct(p["token"].alias("synthetic"), p["synthetic"].alias("real")))
+    out = out.withColumns(
+        {
+            "redacted": unmask(F.col("redacted"), tokens, strip=False),
+            "substitutions": F.transform(kept, lambda p: F.struct(p["synthetic"], p["real"], p["category"])).cast(SUBS),
+            "pii_counts": F.map_from_entries(counts),
+            "pii_count": F.size(kept).cast("long"),
+            "pii_found": F.size(kept) > 0,
+            "types_found": F.array_sort(F.transform(counts, lambda c: c["key"])),
+            "lost": F.size(F.filter("__pairs", lambda p: p["lost"])).cast("long"),
+        }
+    )
+    return out.drop("__pairs", "__row"), store

@@ -13,7 +13,8 @@ BODY = "model variant, messages array<struct<role:string,content:variant,name:st
 MESSAGES = "array<struct<role:string,content:string,name:string,parts:array<struct<type:string,text:string>>>>"
 
 
-def _kind(v: Column) -> Column:
+def kind_of(v: Column) -> Column:
+    """The JSON kind of a variant, in capitals."""
     return F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
 
 
@@ -25,17 +26,17 @@ def parse_requests(df: DataFrame, body_col: str = "body") -> DataFrame:
     """
     out = df.withColumn("__b", F.from_json(body_col, BODY))
     b = F.col("__b")
-    text = lambda v: F.when(_kind(v) == "STRING", F.variant_get(v, "$", "string"))
-    known = lambda m: F.lower(F.coalesce(m["role"], F.lit("user"))).isin(ROLES) & F.coalesce(_kind(m["content"]).isin("STRING", "ARRAY", "VOID"), F.lit(True))
-    named = F.coalesce(_kind(b["model"]) == "STRING", F.lit(False))
+    text = lambda v: F.when(kind_of(v) == "STRING", F.variant_get(v, "$", "string"))
+    known = lambda m: F.lower(F.coalesce(m["role"], F.lit("user"))).isin(ROLES) & F.coalesce(kind_of(m["content"]).isin("STRING", "ARRAY", "VOID"), F.lit(True))
+    named = F.coalesce(kind_of(b["model"]) == "STRING", F.lit(False))
     chat = named & b["messages"].isNotNull() & F.coalesce(F.forall(b["messages"], known), F.lit(False))
-    generate = named & F.coalesce(_kind(b["prompt"]) == "STRING", F.lit(False))
+    generate = named & F.coalesce(kind_of(b["prompt"]) == "STRING", F.lit(False))
     part = "array<struct<type:string,text:string>>"
     message = lambda m: F.struct(
         F.lower(F.coalesce(m["role"], F.lit("user"))).alias("role"),
         text(m["content"]).alias("content"),
         m["name"].alias("name"),
-        F.when(_kind(m["content"]) == "ARRAY", F.from_json(F.to_json(m["content"]), part)).alias("parts"),
+        F.when(kind_of(m["content"]) == "ARRAY", F.from_json(F.to_json(m["content"]), part)).alias("parts"),
     )
     kind = F.when(chat, "chat").when(generate, "generate").otherwise("unrecognised")
     return out.withColumns(
@@ -67,8 +68,14 @@ def to_gemini(messages: Column, temperature: Column) -> Column:
     return F.struct(contents.alias("contents"), F.when(temperature.isNotNull(), F.struct(temperature.alias("temperature"))).alias("generationConfig"))
 
 
+def chat_response(response_id: Column, created: Column, model: Column, choices: Column, usage: Column | None = None) -> Column:
+    """The envelope of an answer: id, object, created (seconds), model, choices and, if given, usage."""
+    fields = [F.concat(F.lit("chatcmpl-"), response_id).alias("id"), F.lit("chat.completion").alias("object"), created.cast("long").alias("created"), model.alias("model"), choices.alias("choices")]
+    return F.struct(*fields, *([] if usage is None else [usage.alias("usage")]))
+
+
 def from_gemini(candidates: Column, error: Column | None = None) -> Column:
-    """choices (index, role, content, finish_reason); null where the response is an error."""
+    """choices (index, role, content, finish_reason) for chat_response; null where the response is an error."""
     choice = lambda c, i: F.struct(
         i.cast("long").alias("index"),
         F.when(c["content"]["role"] == "model", "assistant").otherwise("user").alias("role"),
@@ -90,11 +97,10 @@ def to_anthropic(messages: Column, max_tokens: Column | None = None) -> Column:
     return F.struct(first.alias("system"), told.alias("messages"), most.cast("long").alias("max_tokens"))
 
 
-def from_anthropic(response_id: Column, content: Column, stop_reason: Column, tokens_in: Column, tokens_out: Column) -> Column:
-    """id, content (text blocks joined), finish_reason, total_tokens."""
-    return F.struct(
-        F.concat(F.lit("chatcmpl-"), response_id).alias("id"),
-        F.array_join(text_parts(content), "").alias("content"),
-        F.coalesce(stop_reason, F.lit("stop")).alias("finish_reason"),
-        (tokens_in + tokens_out).alias("total_tokens"),
+def from_anthropic(response_id: Column, content: Column, stop_reason: Column, tokens_in: Column, tokens_out: Column, created: Column, model: Column) -> Column:
+    """The answer's envelope with one choice (text blocks joined) and, where both token counts are known, usage."""
+    choice = F.struct(
+        F.lit(0).cast("long").alias("index"), F.lit("assistant").alias("role"), F.array_join(text_parts(content), "").alias("content"), F.coalesce(stop_reason, F.lit("stop")).alias("finish_reason")
     )
+    usage = F.struct(tokens_in.cast("long").alias("prompt_tokens"), tokens_out.cast("long").alias("completion_tokens"), (tokens_in + tokens_out).cast("long").alias("total_tokens"))
+    return chat_response(response_id, created, model, F.array(choice), F.when(tokens_in.isNotNull() & tokens_out.isNotNull(), usage))

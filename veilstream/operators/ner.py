@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +38,38 @@ def bio_spans(tokens: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     return out.select(doc_col, "label", "start", "end", "n_tokens")
 
 
+def entity_scorer(load: Callable[[], Callable[[list[str]], list[list[tuple[int, int, list[float]]]]]]) -> Callable[[Column], Column]:
+    """A scorer for ``redact``: ``load`` runs once in each task and gives a function from texts to their tokens (start, end, logits).
+
+    Labels are the first greatest logits, and tokens become entities as in bio_spans; offsets are in characters.
+    """
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch]
+            yield pd.Series([spans_of([(a, b, LABELS[max(range(len(x)), key=x.__getitem__)]) for a, b, x in tokens]) for tokens in model(texts)])
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<struct<start:int,end:int,label:string>>")
+
+
+def spans_of(tokens: list[tuple[int, int, str]]) -> list[dict]:
+    """Entities of one text's labelled tokens (start, end, label), in order."""
+    out, open_ = [], None
+    for start, end, label in tokens:
+        if label == "O":
+            open_ = None
+        elif start == end:
+            continue
+        elif label.startswith("I-") and open_ is not None and open_["label"] == label[2:]:
+            open_["end"] = end
+        else:
+            open_ = {"start": start, "end": end, "label": label[2:]}
+            out.append(open_)
+    return out
+
+
 def allowed_entities(entities: DataFrame, labels: list[str], length: Column | None = None) -> DataFrame:
     """Entities of the labels that the policy names, that lie within their text."""
     kept = entities.where(F.col("label").isin(labels))

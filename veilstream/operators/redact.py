@@ -7,8 +7,12 @@ Python. A guard skips both where the text can hold no hit.
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+from functools import cache
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilstream.config import CustomPattern, Policy
@@ -18,6 +22,9 @@ from veilstream.operators.notice import strip_notice
 
 REDACTED = "[REDACTED]"
 SUBS = "array<struct<synthetic:string,real:string,category:string>>"
+ENTITIES = "array<struct<start:int,end:int,label:string>>"
+#: Fixed value: the category under which entities are counted.
+NER = "NER"
 #: A text without any of these can hold no hit.
 GUARDS = {"EMAIL": ["@"], "APIKEY": KEY_PREFIXES}
 DIGITS = {"CC", "IP", "PHONE", "SSN"}
@@ -75,30 +82,77 @@ def _stage(df: DataFrame, i: int, category: str, pattern: str, valid) -> DataFra
     return df.withColumn(f"__h{i}", F.filter("__hits", lambda h: valid(h)) if valid else F.col("__hits")).drop("__hits", "__found", f"__t{i}")
 
 
-def redact(df: DataFrame, text_col: str = "text", policy: Policy = Policy(), custom: tuple[CustomPattern, ...] = (), categories: list[str] | None = None) -> DataFrame:
+def _entity_stage(df: DataFrame, i: int, entities: Callable[[Column], Column], labels: list[str]) -> DataFrame:
+    """df with __ents (what is replaced, right to left: start, end, label, real) and the text rewritten."""
+    text = F.col(f"__t{i}")
+    fine = lambda e: e["label"].isin(labels) & (e["start"] >= 0) & (e["start"] < e["end"]) & (e["end"] <= F.length(text))
+    real = lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label"), F.substring(text, e["start"] + 1, e["end"] - e["start"]).alias("real"))
+    ordered = F.reverse(F.array_sort(F.transform(F.filter(F.coalesce(entities(text), F.array().cast(ENTITIES)), fine), real)))
+    df = df.withColumn("__ents", F.when(text.isNotNull(), ordered).otherwise(F.array().cast("array<struct<start:int,end:int,label:string,real:string>>")))
+    put = lambda acc, e: F.concat(F.substring(acc, F.lit(1), e["start"]), synthetic_id(e["label"], e["real"]), F.substring(acc, e["end"] + 1, F.length(acc)))
+    return df.withColumn(f"__t{i + 1}", F.aggregate("__ents", text, put)).drop(f"__t{i}")
+
+
+def redact(
+    df: DataFrame,
+    text_col: str = "text",
+    policy: Policy = Policy(),
+    custom: tuple[CustomPattern, ...] = (),
+    categories: list[str] | None = None,
+    entities: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """df with redacted, substitutions (synthetic, real, category; stage by stage, right to left), pii_counts,
-    pii_count, pii_found and types_found. Null text: null redacted, no substitutions."""
+    pii_count, pii_found and types_found. Null text: null redacted, no substitutions.
+
+    ``entities`` is a scorer: of the rewritten text it gives an array of (start, end, label), in characters; labels that the policy
+    allows are replaced last, and counted together as NER. Custom patterns that Java can't compile, or that match the empty text, are left out.
+    """
     stages = [(c, java(c), luhn if c == "CC" else None) for c in categories or INGRESS if policy.allows(c)]
-    stages += [(c.name, f"(?U){c.regex}", None) for c in custom]
+    stages += [(c.name, f"(?U){c.regex}", None) for c in custom if usable_pattern(df.sparkSession, c.regex)]
     out = df.withColumn("__t0", F.col(text_col))
     for i, (category, pattern, valid) in enumerate(stages):
         out = _stage(out, i, category, pattern, valid)
+    n = len(stages)
+    if entities is not None:
+        out, n = _entity_stage(out, n, entities, policy.labels()), n + 1
     pair = lambda c: lambda h: F.struct(synthetic_id(c, h).alias("synthetic"), h.alias("real"), F.lit(c).alias("category"))
     subs = [F.transform(F.reverse(f"__h{i}"), pair(c)) for i, (c, _, _) in enumerate(stages)]
-    counts = F.array(*[F.struct(F.lit(c).alias("key"), F.size(f"__h{i}").cast("long").alias("value")) for i, (c, _, _) in enumerate(stages)])
+    sizes = {c: F.size(f"__h{i}").cast("long") for i, (c, _, _) in enumerate(stages)}
+    if entities is not None:
+        subs.append(F.transform("__ents", lambda e: F.struct(synthetic_id(e["label"], e["real"]).alias("synthetic"), e["real"].alias("real"), e["label"].alias("category"))))
+        sizes[NER] = F.size("__ents").cast("long")
+    counts = F.array(*[F.struct(F.lit(c).alias("key"), size.alias("value")) for c, size in sizes.items()])
     total = F.lit(0).cast("long")
-    for i in range(len(stages)):
-        total = total + F.size(f"__h{i}")
+    for size in sizes.values():
+        total = total + size
     out = out.withColumns(
         {
-            "redacted": F.col(f"__t{len(stages)}"),
+            "redacted": F.col(f"__t{n}"),
             "substitutions": (F.concat(*subs) if subs else F.array()).cast(SUBS),
-            "pii_counts": F.map_from_entries(F.filter(counts, lambda c: c["value"] > 0)) if stages else F.create_map().cast("map<string,bigint>"),
+            "pii_counts": F.map_from_entries(F.filter(counts, lambda c: c["value"] > 0)) if sizes else F.create_map().cast("map<string,bigint>"),
             "pii_count": total,
             "pii_found": total > 0,
         }
     )
-    return out.withColumn("types_found", F.array_sort(F.map_keys("pii_counts"))).drop(f"__t{len(stages)}", *[f"__h{i}" for i in range(len(stages))])
+    return out.withColumn("types_found", F.array_sort(F.map_keys("pii_counts"))).drop(f"__t{n}", "__ents", *[f"__h{i}" for i in range(len(stages))])
+
+
+@cache
+def _usable(spark: SparkSession, regex: str) -> bool:
+    try:
+        return not spark.range(1).select(F.lit("").rlike(f"(?U){regex}").alias("x")).first().x
+    except Exception as e:  # the engine says which pattern it can't compile
+        if "PATTERN" not in str(e).upper():
+            raise
+        return False
+
+
+def usable_pattern(spark: SparkSession, regex: str) -> bool:
+    """Whether Java compiles the pattern and it does not match the empty text (such hits are between characters, and can't be replaced)."""
+    fine = _usable(spark, regex)
+    if not fine:
+        warnings.warn(f"custom pattern {regex!r} is left out", stacklevel=3)
+    return fine
 
 
 def egress(text: Column, policy: Policy = Policy(), cc_first: bool = False) -> Column:

@@ -10,12 +10,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores where the scan has fewer tasks than cores (one small file); else unchanged.
+    """Rows dealt over all cores where the scan has fewer tasks than cores; else unchanged.
 
-    At scale a scan has many more tasks than there are cores, and nothing is shuffled.
+    A scan cuts files into as many tasks as there are cores, but none below the cost of opening a file (4 MB), so only a table of
+    less than that for each core is shuffled.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    bytes_ = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = max(1, int(str(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())))
-    return df.repartition(cores) if bytes_ < cores * split else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
