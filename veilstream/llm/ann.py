@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilstream.session import materialise, ship_package
+from veilstream.session import default_parallelism, materialise, ship_package
 
 NEIGHBOURS = 20
 #: Vectors that the tree is fitted on, at most.
@@ -46,7 +46,7 @@ LEAF_ROWS = 24
 SPREAD = 3.0
 ITERATIONS = 8
 #: Vectors that a task holds at once.
-BLOCK = 8192
+BLOCK = 4096
 QUERY_ROWS = 1024
 SEED = 11
 
@@ -348,8 +348,10 @@ class TreeIndex:
                     )
 
         vectors = self.placed.select("leaf", "id", "vec").mapInArrow(deal_vectors, fields)
-        # Rows that repeat a query's id are no candidates; of different vectors under one id the least asks.
-        asked = queries.groupBy("id").agg(F.min("vec").alias("vec"), F.count("*").alias("own")).mapInArrow(deal_queries, fields)
+        # Rows that repeat a query's id are no candidates; of different vectors under one id the least asks. A walk costs far more than a
+        # row's bytes tell, so the number of tasks is given.
+        dealt_out = queries.select("id", "vec").repartition(default_parallelism(queries.sparkSession), "id")
+        asked = dealt_out.groupBy("id").agg(F.min("vec").alias("vec"), F.count("*").alias("own")).mapInArrow(deal_queries, fields)
         dealt = vectors.union(asked).repartition("block").sortWithinPartitions("block", "kind")
 
         def answer(batches):
