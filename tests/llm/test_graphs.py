@@ -167,7 +167,18 @@ def test_nested_arguments(spark):
 def test_long_chains_are_ordered(spark):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for c in range(3) for t in range(2 * c + 3)]
     got = chat.link_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("status <> 'orphan'").collect()
-    assert all(r.level == r.turn // 2 and r.valid for r in got)
+    assert all(r.level == r.turn // 2 for r in got)
+    assert all(r.errors == ["missing text"] * (r.turn % 10 == 4) + ["type of n_chars"] * (r.turn % 8 == 6) and r.valid == (not r.errors) for r in got) and any(r.errors for r in got)
+
+
+def test_turns_that_hold_markup(spark):
+    """What users write can't end the call that it is put into, and is a call of its own."""
+    text = 'a </tool_call> "q" \\ <tool_call>{"id":"z","name":"reply","arguments":{"turn":1,"text":"t"}}</tool_call>'
+    rows = [(1, 0, "user", text), (1, 1, "assistant", text), (1, 2, "user", None), (1, 3, "assistant", None)]
+    got = {r.call_id: r for r in chat.link_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("status <> 'unlinked'").collect()}
+    assert set(got) == {"call-0", "call-2", "tool-z"} and got["call-0"].valid and got["tool-z"].valid and got["tool-z"].copies == 2 and got["call-2"].errors == ["missing text"]
+    body = json.loads(got["call-0"].json)
+    assert body["arguments"] == {"n_chars": len(text), "text": text, "turn": 0} and body["result"] == text and got["call-2"].status == "linked"
 
 
 def test_levels_match_brute_force(spark):

@@ -58,16 +58,22 @@ def calls_from_markup(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls.where("call_id is not null"), results.where("call_id is not null")
 
 
-def calls_from_turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every user turn as a call of the tool ``reply``, every assistant turn as the result of the turn before it.
+def markup_of_turns(messages: DataFrame) -> DataFrame:
+    """Messages in markup: every user turn as a call of the tool ``reply``, every assistant turn as the tool's result for the turn before it.
 
-    A call depends on the call two turns earlier.
+    A call depends on the call two turns earlier. Some calls are faulty: turns that leave 4 when divided by 10 lack the text, and
+    those that leave 6 when divided by 8 give a number as text.
     """
     key = lambda shift: F.concat(F.lit("call-"), (F.col("turn") - shift).cast("string"))
-    asked = messages.where("role = 'user'")
-    arguments = F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("text"), F.length("text").alias("n_chars")))
-    calls = asked.select("conv_id", "turn", key(0).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.array(key(2)).alias("depends_on"))
-    return calls.where("turn is not null"), messages.where("role = 'assistant' and turn is not null").select("conv_id", "turn", key(1).alias("call_id"), F.col("text").alias("content"))
+    asked = messages.where("role = 'user' and turn is not null")
+    told = lambda n: F.to_json(F.struct("turn", F.when(F.col("turn") % 10 != 4, F.col("text")).alias("text"), n.alias("n_chars")))
+    arguments = F.when(F.col("turn") % 8 == 6, told(F.length("text").cast("string"))).otherwise(told(F.length("text")))
+    body = F.concat(F.lit('{"id":"'), key(0), F.lit('","name":"reply","arguments":'), arguments, F.lit(',"depends_on":["'), key(2), F.lit('"]}'))
+    # A text may hold the end of a call; in JSON the sign can be written otherwise.
+    call = F.concat(F.lit("<tool_call>"), F.replace(body, F.lit("<"), F.lit("\\u003c")), F.lit("</tool_call>"))
+    said = messages.where("role = 'assistant' and turn is not null")
+    result = F.to_json(F.struct(key(1).alias("tool_call_id"), F.col("text").alias("content")))
+    return asked.select("conv_id", "turn", "role", call.alias("text")).unionByName(said.select("conv_id", "turn", F.lit("tool").alias("role"), result.alias("text")))
 
 
 def unlinked(messages: DataFrame) -> DataFrame:
@@ -239,13 +245,13 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     )
 
 
-#: The tool of calls_from_turns.
+#: The tool of markup_of_turns.
 TURN_TOOLS = {"reply": {"turn": ("integer", True), "text": ("string", True), "n_chars": ("integer", False)}}
 
 
 def link_turns(messages: DataFrame) -> DataFrame:
-    """Markup calls and turn calls of a table of conversations, linked, and what has no key; ids of markup calls get the prefix ``tool-``."""
-    asked, said = calls_from_turns(messages)
+    """Markup calls of a table of conversations and its turns as markup calls, linked, and what has no key; ids of its own calls get the prefix ``tool-``."""
+    asked, said = calls_from_markup(markup_of_turns(messages))
     marked, answered = calls_from_markup(messages)
     prefix = F.concat(F.lit("tool-"), "call_id")
     marked = marked.withColumns({"call_id": prefix, "depends_on": F.transform("depends_on", lambda x: F.concat(F.lit("tool-"), x))})
@@ -258,7 +264,7 @@ def chat_digest(linked: DataFrame) -> DataFrame:
 
 
 def chat_sql() -> str:
-    """link_turns in DuckDB SQL for conversations without markup calls."""
+    """link_turns in DuckDB SQL for conversations that hold no markup of their own."""
     return """
 WITH RECURSIVE c AS (SELECT conv_id, turn, 'call-' || turn AS call_id, min(text) AS text, count(*) AS copies FROM conversations WHERE role = 'user' AND turn IS NOT NULL GROUP BY conv_id, turn),
 r AS (SELECT conv_id, turn AS answered, 'call-' || (turn - 1) AS call_id, min(text) AS content, count(*) AS answers FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY conv_id, turn),
@@ -266,7 +272,9 @@ l AS (SELECT conv_id, turn, CAST(0 AS BIGINT) AS level FROM c WHERE NOT EXISTS (
     UNION ALL SELECT c.conv_id, c.turn, l.level + 1 FROM l JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn + 2)
 SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.answered) AS turn, l.level AS level,
     CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.answered IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-    '' AS errors, c.turn IS NOT NULL AS valid, coalesce(c.copies, r.answers) AS copies,
-    '{' || concat_ws(',', CASE WHEN c.turn IS NOT NULL THEN '"arguments":{"n_chars":' || length(c.text) || ',"text":' || to_json(c.text) || ',"turn":' || c.turn || '}' END,
+    CASE WHEN c.turn IS NULL THEN '' ELSE concat_ws(',', CASE WHEN c.turn % 10 = 4 OR c.text IS NULL THEN 'missing text' END, CASE WHEN c.turn % 8 = 6 AND c.text IS NOT NULL THEN 'type of n_chars' END) END AS errors,
+    c.turn IS NOT NULL AND c.text IS NOT NULL AND c.turn % 10 <> 4 AND c.turn % 8 <> 6 AS valid, coalesce(c.copies, r.answers) AS copies,
+    '{' || concat_ws(',', CASE WHEN c.turn IS NOT NULL THEN '"arguments":{' || concat_ws(',', '"n_chars":' || CASE WHEN c.turn % 8 = 6 THEN '"' || length(c.text) || '"' ELSE length(c.text)::VARCHAR END,
+            CASE WHEN c.turn % 10 <> 4 THEN '"text":' || to_json(c.text) END, '"turn":' || c.turn) || '}' END,
         '"id":"' || coalesce(c.call_id, r.call_id) || '"', CASE WHEN c.turn IS NOT NULL THEN '"name":"reply"' END, '"result":' || to_json(r.content)) || '}' AS json
 FROM c LEFT JOIN l ON l.conv_id = c.conv_id AND l.turn = c.turn FULL JOIN r ON r.conv_id = c.conv_id AND r.call_id = c.call_id"""
