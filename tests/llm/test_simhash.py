@@ -66,3 +66,20 @@ def test_empty_and_null_ids(spark):
 def test_different_texts_of_one_id_stay(spark):
     docs = spark.createDataFrame([(7, "a b c d"), (7, "q r s t u"), (3, "q r s t u"), (7, "a b c d")], "doc_id long, text string")
     assert sorted(S.keep_representatives(docs).collect()) == [(3, "q r s t u"), (7, "a b c d")]
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 5])
+def test_links_of_any_radius(spark, radius):
+    rng = np.random.default_rng(radius)
+    fps = set()
+    for base in rng.integers(0, 1 << 63, 40, dtype=np.uint64).tolist():
+        fps.add(base)
+        for _ in range(4):
+            fps.add(base ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 9)), replace=False)))
+    signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
+    edges = S.links(spark.createDataFrame([(f,) for f in signed.values()], "fp long"), radius)
+    roots = {r.node: r.root for r in S.components(edges).collect()} if radius else {}
+    want = reach(fps, radius)
+    mine = {f: roots.get(s, s) for f, s in signed.items()}
+    groups = lambda by: sorted(sorted(f for f in fps if by[f] == x) for x in set(by.values()))
+    assert groups(mine) == groups(want)

@@ -2,8 +2,8 @@
 
 1. Fingerprints: XXH64 of every word shingle, majority of each bit, over whole texts (Arrow batches).
 2. Equal fingerprints fall together by an aggregation, so groups of exact copies are one row from here on.
-3. Blocks: the 64 bits are cut into four parts; two fingerprints at 2 or fewer differing bits agree in
-   at least two of them. Each fingerprint goes to the six 32-bit keys (pair of parts, their bits).
+3. Blocks: the 64 bits are cut into radius + 2 parts, four for the radius of 2; two fingerprints within the radius agree in
+   at least two of them. Each fingerprint goes to a key for each pair of parts (their bits): six 32-bit keys.
    A key with more than BLOCK fingerprints is cut into sub-blocks by hash, and every pair of sub-blocks
    is a task of its own: no task holds more than about two blocks, and nothing is left out.
 4. In a block the bits that can differ are stored as vertical planes. Adding a plane to two carry-save counter
@@ -32,7 +32,6 @@ SEED = 42
 RADIUS = 2
 #: Fingerprints in a block of the comparison.
 BLOCK = 4096
-PARTS = 4
 MAX_ROUNDS = 60
 
 
@@ -157,20 +156,24 @@ def block_links(fps: np.ndarray, sides: np.ndarray | None, bits: list[int], radi
     return fps[child], fps[parent[child]]
 
 
-def _key_parts() -> list[tuple[tuple[int, ...], list[int]]]:
-    """For each pair of parts: the pair, and the bits outside it."""
-    width = 64 // PARTS
-    return [(pair, [b for b in range(64) if b // width not in pair]) for pair in combinations(range(PARTS), 2)]
+def _key_parts(radius: int) -> list[tuple[tuple[int, int], tuple[int, int], list[int]]]:
+    """For each pair of the radius + 2 parts: (first bit, bits) of both, and the bits outside. Two parts at least agree within the radius."""
+    ends = [64 * i // (radius + 2) for i in range(radius + 3)]
+    parts = [(a, b - a) for a, b in zip(ends, ends[1:])]
+    return [(x, y, [b for b in range(64) if not (x[0] <= b < sum(x) or y[0] <= b < sum(y))]) for x, y in combinations(parts, 2)]
 
 
 def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) that connect the distinct fingerprints of column fp as their links do."""
-    if radius > PARTS - 2:
-        raise ValueError(f"two of {PARTS} parts are sure to agree for a radius up to {PARTS - 2} only")
+    """Edges (u, v) that connect the distinct fingerprints of column fp as their links do.
+
+    Exact for every radius; keys have 128 / (radius + 2) bits, so blocks grow with the radius.
+    """
+    if not 0 <= radius <= 30:
+        raise ValueError("a radius is between 0 and 30 bits")
     ship_package(fps.sparkSession)
-    width, pairs = 64 // PARTS, _key_parts()
-    part = lambda i: F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1))
-    keys = [F.struct(F.lit(n).alias("pair"), F.shiftleft(part(a), width).bitwiseOR(part(b)).alias("key")) for n, ((a, b), _) in enumerate(pairs)]
+    pairs = _key_parts(radius)
+    part = lambda p: F.shiftrightunsigned("fp", p[0]).bitwiseAND(F.lit((1 << p[1]) - 1))
+    keys = [F.struct(F.lit(n).alias("pair"), F.shiftleft(part(x), y[1]).bitwiseOR(part(y)).alias("key")) for n, (x, y, _) in enumerate(pairs)]
     keyed = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.pair", "k.key")
     heavy = keyed.groupBy("pair", "key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     heavy = heavy.select("pair", "key", F.ceil(F.col("n") / block).cast("int").alias("cuts"))
@@ -192,7 +195,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
             for x in np.flatnonzero(np.diff(bounds) > 1):
                 s, e = bounds[x], bounds[x + 1]
                 sides = None if cols[2][s] == cols[3][s] else cols[4][s:e]
-                u, v = block_links(cols[5][s:e].view(np.uint64), sides, pairs[cols[0][s]][1], radius)
+                u, v = block_links(cols[5][s:e].view(np.uint64), sides, pairs[cols[0][s]][2], radius)
                 out_u.append(u)
                 out_v.append(v)
             if out_u:
@@ -267,13 +270,20 @@ def simhash_digest(found: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component (doc_id, tid, root of ``found``) the document with the least id, documents without an id last; columns stay as they are.
 
-    Keepers are found among ids and hashes; only then do texts meet them, by (id, hash). Rows that share an id but not their text are documents of their own.
+    Keepers are found among ids and hashes, and written; only then do texts meet them, by (id, hash): without moving where the keepers'
+    table is small enough to broadcast, each text once where it is not. Rows that share an id but not their text are documents of their own.
     """
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid"))
-    first = found.groupBy("root").agg(least.alias("x")).select(F.col("x.doc_id").alias("__keep"), F.col("x.tid").alias("__keep_tid"))
+    rows_of = found.groupBy("root", "doc_id", "tid").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid", "n"))
+    first = rows_of.groupBy("root").agg(least.alias("x")).select(F.col("x.doc_id").alias("__keep"), F.col("x.tid").alias("__keep_tid"), F.col("x.n").alias("__n"))
+    first = materialise(first, "keepers")
     rows = docs.withColumn("__tid", text_id(text_col))
     own = F.col(id_col).eqNullSafe(F.col("__keep")) & (F.col("__tid") == F.col("__keep_tid"))
-    return rows.join(first, own, "left_semi").dropDuplicates([id_col, "__tid"]).drop("__tid")
+    kept, repeated = rows.join(first.where("__n = 1"), own, "left_semi"), first.where("__n > 1")
+    if not repeated.isEmpty():
+        # Only rows that repeat id and text have to be counted out.
+        kept = kept.unionByName(rows.join(repeated, own, "left_semi").dropDuplicates([id_col, "__tid"]))
+    return kept.drop("__tid")
 
 
 def keep_representatives(
