@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilstream.functions.patterns import LUHN_LENGTHS
+from veilstream.functions.patterns import LUHN_LENGTHS, SYNTHETIC_ID
 
 #: Model prefixes and where they go; other models go to the local server.
 ROUTES = {
@@ -87,6 +87,16 @@ def token_count(text: Column, tokenizer_path: str | None = None) -> Column:
     return F.pandas_udf(count, "long")(text)
 
 
+def synthetic_ids(text: Column) -> Column:
+    """All tokens of the built-in categories in a text."""
+    return F.regexp_extract_all(text, F.lit(SYNTHETIC_ID), F.lit(0))
+
+
+def sse_event(chunk: Column) -> Column:
+    """A chunk as a server-sent event: a data line for each of its lines, and a blank line."""
+    return F.concat(F.lit("data: "), F.regexp_replace(chunk, "\r\n|\r|\n", "\ndata: "), F.lit("\n\n"))
+
+
 def strip_bearer(header: Column) -> Column:
     return F.regexp_replace(header, "^Bearer ", "")
 

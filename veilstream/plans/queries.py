@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilstream.config import CustomPattern
 from veilstream.functions import scalars as X
-from veilstream.functions.patterns import re2
+from veilstream.functions.patterns import SYNTHETIC_ID, re2
 from veilstream.operators import limits, mapping, messages, metrics, ner, notice, redact, requests, shield
 from veilstream.plans import sql as Q
 from veilstream.session import materialise
@@ -117,11 +117,7 @@ def egress_documents(spark, d):
     return df.select("doc_id", redact.egress(F.col("__text")).alias("sanitized"))
 
 
-# For texts with digits or addresses of every third id alone: the tests hold the query to it there, and to plain Python on the whole table.
-EGRESS_PROTECTED_PART = f"SELECT doc_id, {ADDED_DOC} || {Q.quoted(NEW_MAIL.replace('someone.new@mail.example.com', '[REDACTED]'))} AS sanitized FROM documents WHERE doc_id % 3 = 0 AND regexp_matches(text, '[0-9@]')"
-
-
-@query(None)
+@query(f"SELECT doc_id, {ADDED_DOC} || {Q.quoted(NEW_MAIL.replace('someone.new@mail.example.com', '[REDACTED]'))} AS sanitized FROM documents")
 def egress_protected(spark, d):
     """Answers that repeat the redacted prompt and add an address of their own, for every text."""
     made = redact.redact(_documents(spark, d).select("doc_id", _added().alias("__text")), "__text", custom=CUSTOM_PATTERNS)
@@ -129,6 +125,20 @@ def egress_protected(spark, d):
     return answers.select("doc_id", redact.egress_protected(F.col("answer"), F.col("substitutions")).alias("sanitized"))
 
 
+@query(f"WITH {Q.stages('documents', 'doc_id', ADDED_DOC, CUSTOM)} SELECT doc_id, array_to_string(regexp_extract_all(txt, {Q.quoted('(?:' + SYNTHETIC_ID.removeprefix('('))}), '|') AS tokens FROM {Q.last(CUSTOM)}")
+def synthetic_ids(spark, d):
+    """The tokens of redacted texts."""
+    return _redaction(spark, d, "documents", ["doc_id"], ADDED_DOC).select("doc_id", F.array_join(X.synthetic_ids(F.col("redacted")), "|").alias("tokens"))
+
+
+@query(r"SELECT conv_id, turn, 'data: ' || regexp_replace(text, '\r\n|\r|\n', chr(10) || 'data: ', 'g') || chr(10) || chr(10) AS event, role IN ('assistant', 'tool') OR turn % 2 = 0 AS streams FROM conversations")
+def sse_events(spark, d):
+    """Every turn as an event of a stream; and whether a request streams that says so on every second turn and uses the local format for answers."""
+    local, told = F.col("role").isin("assistant", "tool"), F.when(F.col("turn") % 2 == 0, F.lit(True))
+    streams = F.when(local, messages.stream_default(F.lit(None).cast("boolean"), True)).otherwise(messages.stream_default(told, False))
+    return read_table(spark, d, "conversations").select("conv_id", "turn", X.sse_event(F.col("text")).alias("event"), streams.alias("streams"))
+
+
 @query(f"SELECT doc_id, {ADDED_DOC} AS restored FROM documents")
 def unmask_roundtrip(spark, d):
     made = _redaction(spark, d, "documents", ["doc_id"], ADDED_DOC)
