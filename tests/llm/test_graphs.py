@@ -181,7 +181,9 @@ def test_turns_that_hold_markup(spark):
     assert body["arguments"] == {"n_chars": len(text), "text": text, "turn": 0} and body["result"] == text and got["call-2"].status == "linked"
 
 
-def test_levels_match_brute_force(spark):
+@pytest.mark.parametrize("edges", [chat.GRAPH_EDGES, 0])
+def test_levels_match_brute_force(spark, monkeypatch, edges):
+    monkeypatch.setattr(chat, "GRAPH_EDGES", edges)
     rng = np.random.default_rng(9)
     needs = {}
     for conv in range(6):

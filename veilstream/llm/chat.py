@@ -6,7 +6,7 @@ all conversations at once, by pointer doubling; calls that never get one stand b
 validated against the fields of their tool, nested objects, array items and allowed values too, and a call is serialised as canonical JSON: keys sorted at every
 depth, no white space, numbers as JSON numbers.
 
-No conversation is gathered in one task: all joins are by call id.
+No conversation of unbounded size is gathered in one row: joins are by call id, and only small graphs meet (see ``levels``).
 
 Defined results: a call without a result is ``unanswered``; a result without a call is ``orphan`` and has no level; calls and results
 that repeat an id in a conversation count once, the first turn's (then the least) stays, with ``copies`` telling how
@@ -36,6 +36,9 @@ KINDS = {
     "null": ["VOID"],
 }
 
+#: Dependencies of calls with several, in a conversation that is solved in one row.
+GRAPH_EDGES = 600
+
 CALL = r"(?s)<tool_call>(.*?)</tool_call>"
 
 
@@ -108,8 +111,9 @@ def levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, level of the calls (conv_id, call_id, depends_on) that stand behind no cycle.
 
     Calls with one dependency form chains; they find the head of their chain (a call with no dependency or several)
-    by doubling their pointers, so a chain of n calls takes log2(n) rounds. Calls with several dependencies
-    then take their levels in turn, a round for each layer of such calls alone. Every round is written.
+    by doubling their pointers, so a chain of n calls takes log2(n) rounds. What is left is a graph of the calls with several
+    dependencies alone: of a conversation with up to GRAPH_EDGES of these dependencies it is solved in one row, so the number of jobs doesn't
+    grow with its depth; a larger one takes a round for each layer of such calls. Every round is written.
     """
     edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("needs"))
     edges = materialise(edges.join(calls.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"]), "needs")
@@ -136,17 +140,52 @@ def levels(calls: DataFrame) -> DataFrame:
     if not several.isEmpty():
         known = materialise(known, "levels")
         reach = state.select("conv_id", F.col("call_id").alias("needs"), F.when(F.col("done"), F.col("head")).alias("head"), (F.col("far") + 1).alias("far"))
-        todo = materialise(edges.join(several, ["conv_id", "call_id"], "left_semi").join(reach, ["conv_id", "needs"]), "several")
-        while True:
-            tried = todo.join(known, ["conv_id", "head"], "left").groupBy("conv_id", "call_id").agg(F.max(F.col("level") + F.col("far")).alias("level"), F.sum(F.col("level").isNull().cast("int")).alias("missing"))
-            fresh = materialise(tried.where("missing = 0").select("conv_id", F.col("call_id").alias("head"), "level"), "levels")
-            if fresh.isEmpty():
-                break
-            known = materialise(known.unionByName(fresh), "levels")
-            todo = materialise(todo.join(fresh.select("conv_id", F.col("head").alias("call_id")), ["conv_id", "call_id"], "left_anti"), "several")
+        todo = edges.join(several, ["conv_id", "call_id"], "left_semi").join(reach, ["conv_id", "needs"])
+        todo = materialise(todo.join(known, ["conv_id", "head"], "left"), "several")
+        sizes = todo.groupBy("conv_id").agg(F.count("*").alias("n"))
+        small = _levels_in_rows(todo.join(sizes.where(F.col("n") <= GRAPH_EDGES), "conv_id", "left_semi"))
+        known = materialise(known.unionByName(small), "levels")
+        large = sizes.where(F.col("n") > GRAPH_EDGES)
+        if not large.isEmpty():
+            known = known.unionByName(_levels_in_rounds(todo.join(large, "conv_id", "left_semi")))
     return settled.join(known, ["conv_id", "head"]).select("conv_id", "call_id", (F.col("level") + F.col("far")).alias("level"))
 
 
+def _levels_in_rows(todo: DataFrame) -> DataFrame:
+    """conv_id, head, level of the calls of todo (conv_id, call_id, head, far, level of the head if known), each conversation's in one row.
+
+    As many passes over the row as it has calls reach every call that stands behind no cycle.
+    """
+    needs = F.collect_list(F.struct("head", "far", "level")).alias("needs")
+    rows = todo.groupBy("conv_id", "call_id").agg(needs).groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "needs")).alias("calls"))
+    rows = rows.withColumn("names", F.transform("calls", lambda c: c["call_id"]))
+    placed = F.transform("calls", lambda c: F.transform(c["needs"], lambda n: F.struct(F.array_position("names", n["head"]).cast("int").alias("at"), n["far"].alias("far"), n["level"].alias("level"))))
+    rows = rows.withColumn("graph", placed)
+
+    def one(needs, levels):
+        level = lambda n: F.coalesce(n["level"], F.get(levels, n["at"] - 1)) + n["far"]
+        return F.aggregate(needs, F.lit(0).cast("long"), lambda most, n: F.when(most.isNotNull() & level(n).isNotNull(), F.greatest(most, level(n))))
+
+    none = F.transform("names", lambda _: F.lit(None).cast("long"))
+    found = F.aggregate(F.sequence(F.lit(1), F.size("names")), none, lambda levels, _: F.transform("graph", lambda needs: one(needs, levels)))
+    told = rows.select("conv_id", F.inline(F.arrays_zip(F.col("names").alias("head"), found.alias("level"))))
+    return told.where("level is not null")
+
+
+def _levels_in_rounds(todo: DataFrame) -> DataFrame:
+    """The same for conversations of any size: a round of joins for each layer of calls with several dependencies."""
+    todo, out = materialise(todo, "several"), None
+    while True:
+        tried = todo.groupBy("conv_id", "call_id").agg(F.max(F.col("level") + F.col("far")).alias("found"), F.sum(F.col("level").isNull().cast("int")).alias("missing"))
+        fresh = materialise(tried.where("missing = 0").select("conv_id", F.col("call_id").alias("head"), F.col("found").alias("now")), "levels")
+        done = fresh.select("conv_id", "head", F.col("now").alias("level"))
+        out = done if out is None else out.unionByName(done)
+        if fresh.isEmpty():
+            return out
+        left = todo.join(fresh.select("conv_id", F.col("head").alias("call_id")), ["conv_id", "call_id"], "left_anti")
+        todo = materialise(left.join(fresh, ["conv_id", "head"], "left").withColumn("level", F.coalesce("level", "now")).drop("now"), "several")
+
+
 #: Between the steps of a path; ITEM is the step into an array.
 STEP, ITEM = "\x01", "[]"
 
