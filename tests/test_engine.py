@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import duckdb
@@ -9,6 +10,7 @@ from veilstream.functions import patterns
 from veilstream.functions import scalars as X
 from veilstream.operators import limits, mapping, messages, ner, notice, redact, shield
 from veilstream.streaming import limits as stream_limits
+from veilstream.streaming import mapping as stream_mapping
 from veilstream.streaming import unredact
 
 CUSTOM = (config.CustomPattern("PROJECT_ID", r"Project-\d{4}"),)
@@ -230,6 +232,29 @@ def test_rate_limit_stream_matches_batch(spark, tmp_path):
     assert rows(spark.table("limited")) == rows(want)
 
 
+def test_mapping_stream(spark, tmp_path):
+    rng = random.Random(3)
+    uses = sorted((t * 1_000_000, rng.choice(["a@b.co", "x", "10.0.0.1"]), rng.choice(["EMAIL", "IP"])) for t in range(0, 120, 3))
+    for i in range(0, len(uses), 10):
+        spark.createDataFrame(uses[i : i + 10], "at_us long, real string, category string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("at_us long, real string, category string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run_to_end(stream_mapping.mapping_stream(source, 20), "mapped", f"{tmp_path}/ck")
+    want, held = [], {}
+    for at, real, category in uses:
+        fresh = real not in held or at >= held[real][1]
+        if fresh:
+            held[real] = (category, at + 20_000_000)
+        digest = hashlib.sha256(real.encode()).hexdigest()
+        want.append((digest, at, f"{held[real][0]}_{digest[:8]}", fresh))
+    assert sorted(map(tuple, spark.table("mapped").collect())) == sorted(want) and sum(w[3] for w in want) > 6
+
+
+def test_unknown_fields_are_told(spark):
+    body = '{"model":"m","messages":[],"top_p":0.5,"stop":["a"],"user":null}'
+    assert messages.parse_requests(spark.createDataFrame([(body,)], "body string")).first().extra == {"top_p": "0.5", "stop": '["a"]', "user": "null"}
+    assert messages.parse_requests(spark.createDataFrame([('{"model":"m","prompt":"p","k":{"b":1}}',)], "body string")).first().extra == {"k": '{"b":1}'}
+
+
 def test_settings(tmp_path):
     path = tmp_path / "s.toml"
     path.write_text('[redis]\nttl_seconds = 60\n[policy]\nredact_ip = false\n[[custom]]\nname = "A"\nregex = "a+"\n[[custom]]\nname = "B"\nregex = "("\n')

@@ -19,6 +19,7 @@ _HOMES = {
     "veilstream.functions.scalars": ["route_model", "models_route", "token_count", "client_ip", "encrypt", "decrypt", "error_body", "blocked_body", "mask_url", "strip_bearer", "within_body_limit"],
     "veilstream.streaming.unredact": ["unredact_batch", "unredact_stream"],
     "veilstream.streaming.limits": ["rate_limit_stream"],
+    "veilstream.streaming.mapping": ["mapping_stream"],
     "veilstream.session": ["cleanup"],
 }
 _HOME = {name: home for home, names in _HOMES.items() for name in names}

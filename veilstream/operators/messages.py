@@ -19,7 +19,7 @@ def kind_of(v: Column) -> Column:
 
 
 def parse_requests(df: DataFrame, body_col: str = "body") -> DataFrame:
-    """df with kind (chat, generate, unrecognised), model, messages (text content, or text parts), prompt, stream.
+    """df with kind (chat, generate, unrecognised), model, messages (text content, or text parts), prompt, stream and extra (JSON of every other field).
 
     A chat request needs a model and messages whose roles are known and whose contents are text, lists or absent; else it is
     tried as a generate request (model and prompt); all else passes unrecognised.
@@ -38,6 +38,8 @@ def parse_requests(df: DataFrame, body_col: str = "body") -> DataFrame:
         m["name"].alias("name"),
         F.when(kind_of(m["content"]) == "ARRAY", F.from_json(F.to_json(m["content"]), part)).alias("parts"),
     )
+    fields = F.variant_get(F.try_parse_json(body_col), "$", "map<string,variant>")
+    rest = lambda *known: F.transform_values(F.map_filter(fields, lambda k, v: ~k.isin(*known)), lambda k, v: F.to_json(v))
     kind = F.when(chat, "chat").when(generate, "generate").otherwise("unrecognised")
     return out.withColumns(
         {
@@ -48,6 +50,7 @@ def parse_requests(df: DataFrame, body_col: str = "body") -> DataFrame:
             "system": F.when(~chat & generate, b["system"]),
             "temperature": F.when(chat, b["temperature"]),
             "stream": b["stream"],
+            "extra": F.when(chat, rest("model", "messages", "temperature", "stream")).when(generate, rest("model", "prompt", "system", "stream")),
         }
     ).drop("__b")
 
