@@ -133,6 +133,7 @@ def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in langid.language_digest(docs).collect()} == {"und"}
     assert langid.filter_language(docs).count() == 0
+    assert langid.language_digest(docs.union(docs)).count() == 4 and langid.language_digest(docs.limit(0)).count() == 0
 
 
 def brute_base(text):

@@ -29,6 +29,8 @@ def test_urls_and_rules(spark):
         rule, verdict = max(fits, key=lambda x: len(x[0])) if fits else (None, "allow")
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict), u
     assert urls.judge_urls(pages.limit(0)).count() == 0
+    # Repeated rows are judged each.
+    assert urls.judge_urls(pages.union(pages.where("page_id = 5"))).where("page_id = 5").count() == 2
 
 
 def test_propagation(spark):

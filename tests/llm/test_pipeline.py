@@ -56,6 +56,26 @@ def test_stages_take_odd_tables(spark):
         assert corpus_pipeline.packing(spark, docs, SF).count() == 0
 
 
+def test_repeated_ids_and_long_texts(spark):
+    """Different texts of one id are documents of their own all the way, and a long text is kept whole."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    fine = {}
+    for r, ok in zip(rows, brute_verdicts([(r.lang, r.source, r.text) for r in rows])):
+        if ok and r.text and len(r.text.split()) > 60:
+            fine.setdefault(r.text, r)
+    picked = [r for r in fine.values() if r.lang == "en"][:40]
+    long = "\n".join(r.text for r in picked[4:30])
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    made = [(7 if i < 2 else 100 + i, r.text, r.lang, r.source, r.n_chars) for i, r in enumerate(picked)] + [(1000, long, "en", picked[0].source, len(long))]
+    docs = spark.createDataFrame(made + made[:1], kind)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+    got = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(t for d, t in got if d == 7) == sorted(r.text for r in picked[:2]) and (1000, long) in got
+    whole = len(Tokenizer.from_file(word_table_path()).encode(long, add_special_tokens=False).ids) + 1
+    assert sum(p.length for p in corpus_pipeline.packing(spark, docs, SF).where("doc_id = 1000").collect()) == whole
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))

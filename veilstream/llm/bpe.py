@@ -14,7 +14,7 @@ that gave other rows in another order is found out and fails. Input without a st
 unsorted rows) should be written first.
 
 Defined results: null and empty texts have no ids and decode to the empty text; repeated rows are encoded each;
-an empty table gives no rows; columns other than those named are not read.
+texts are encoded whole, however long; an empty table gives no rows; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ BLOCK_WORDS = 600_000
 TABLE_WORDS = 4_000_000
 #: Positions that are filled in at once.
 FILL = 1 << 18
-DECODE_BYTES = 1 << 23
+#: Ids that are decoded at once, about.
+DECODE_IDS = 1 << 20
 FIELDS = "block string, kind int, part int, distinct long, docs array<long>, sizes array<int>, numbers binary, body binary, lengths binary"
 SCHEMA = pa.schema(
     [("block", pa.string()), ("kind", pa.int32()), ("part", pa.int32()), ("distinct", pa.int64()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("numbers", pa.binary()), ("body", pa.binary()), ("lengths", pa.binary())]
@@ -227,8 +228,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def decode_documents(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """encoded with ``text`` (which replaces a column of that name): ids joined to the pieces of the vocabulary.
 
-    The join is a lookup of each position's id in the table of pieces, which the size of the vocabulary bounds and every worker holds;
-    a tokenizer with a decoder of its own (the given one has none) decodes each document by it.
+    The pieces are an Arrow column, which the size of the vocabulary bounds and every worker holds; ids meet them by position, in one gather
+    for many documents, and each document's pieces are joined in order. A tokenizer with a decoder of its own (the given one has none) decodes each document by it.
     """
     ship_package(encoded.sparkSession)
     path = tokenizer_path or word_table_path()
@@ -236,17 +237,26 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str | None = None) -> D
     names = encoded.columns
 
     def decode(batches):
+        import pyarrow.compute as pc
+
         library = encoder(path).library
-        pieces = [(library.id_to_token(i) or "").encode() for i in range(library.get_vocab_size())] if library.decoder is None else None
+        table = pa.array([(library.id_to_token(i) or "").encode() for i in range(library.get_vocab_size())], pa.binary())
         for batch in batches:
-            out, a, held, column = [], 0, 0, batch.column(names.index("ids"))
-            for i in range(batch.num_rows):
-                ids = np.frombuffer(column[i].as_py() or b"", dtype="<u4").tolist()
-                out.append(b" ".join(map(pieces.__getitem__, ids)) if pieces else library.decode(ids, skip_special_tokens=False).encode())
-                held += len(out[-1])
-                if held >= DECODE_BYTES or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([*batch.slice(a, i + 1 - a).columns, pa.array(out, pa.binary()).cast(pa.string())], names=[*names, "text"])
-                    out, a, held = [], i + 1, 0
+            column = batch.column(names.index("ids"))
+            upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 4)
+            a = 0
+            while a < batch.num_rows:
+                first = int(upto[a - 1]) if a else 0
+                b = max(a + 1, int(np.searchsorted(upto, first + DECODE_IDS, side="right")))
+                part = [x.as_py() or b"" for x in column.slice(a, b - a)]
+                if library.decoder is None:
+                    pieces = table.take(pa.array(np.frombuffer(b"".join(part), dtype="<u4")))
+                    ends = np.concatenate(([0], upto[a:b] - first)).astype(np.int32)
+                    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), pieces), pa.scalar(b" ", pa.binary()))
+                else:
+                    texts = pa.array([library.decode(np.frombuffer(x, dtype="<u4").tolist(), skip_special_tokens=False).encode() for x in part], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, texts.cast(pa.string())], names=[*names, "text"])
+                a = b
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(decode, f"{fields}, text string")

@@ -13,7 +13,7 @@
 
 Defined results: null and empty texts and texts without words have fingerprint zero and link like any
 other; a component's id is its smallest non-null doc_id; repeated rows keep their own row; empty
-tables give no rows; other columns are not read.
+tables give no rows; texts are read whole, one at a time, however long; other columns are not read.
 """
 
 from __future__ import annotations
