@@ -270,20 +270,19 @@ def simhash_digest(found: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component (doc_id, tid, root of ``found``) the document with the least id, documents without an id last; columns stay as they are.
 
-    Keepers are found among ids and hashes, and written; only then do texts meet them, by (id, hash): without moving where the keepers'
-    table is small enough to broadcast, each text once where it is not. Rows that share an id but not their text are documents of their own.
+    Keepers are found among ids and hashes, and written; only then do texts meet them, moved once, by one hash of both. Rows that share an id
+    but not their text are documents of their own; of rows that repeat both one stays.
     """
-    rows_of = found.groupBy("root", "doc_id", "tid").agg(F.count("*").alias("n"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid", "n"))
-    first = rows_of.groupBy("root").agg(least.alias("x")).select(F.col("x.doc_id").alias("__keep"), F.col("x.tid").alias("__keep_tid"), F.col("x.n").alias("__n"))
-    first = materialise(first, "keepers")
-    rows = docs.withColumn("__tid", text_id(text_col))
-    own = F.col(id_col).eqNullSafe(F.col("__keep")) & (F.col("__tid") == F.col("__keep_tid"))
-    kept, repeated = rows.join(first.where("__n = 1"), own, "left_semi"), first.where("__n > 1")
-    if not repeated.isEmpty():
-        # Only rows that repeat id and text have to be counted out.
-        kept = kept.unionByName(rows.join(repeated, own, "left_semi").dropDuplicates([id_col, "__tid"]))
-    return kept.drop("__tid")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid"))
+    first = found.groupBy("root").agg(least.alias("x")).select(F.xxhash64("x.doc_id").alias("__id"), F.col("x.tid").alias("__keep"))
+    first = materialise(first.withColumn("__place", F.xxhash64("__id", "__keep")), "keepers")
+    rows = docs.withColumn("__tid", text_id(text_col)).withColumn("__own", F.xxhash64(F.col(id_col)))
+    rows = rows.withColumn("__at", F.xxhash64("__own", "__tid"))
+    # Only the one hash is a key of the join, so rows that repeat are already together; the rest is compared. Always the same plan:
+    # broadcast keepers would have the texts moved for the repeated rows instead.
+    same = (F.col("__at") == F.col("__place")) & (F.col("__own").bitwiseXOR(F.col("__id")) == 0) & (F.col("__tid").bitwiseXOR(F.col("__keep")) == 0)
+    kept = rows.join(first.hint("merge"), same, "left_semi").dropDuplicates(["__at", "__own", "__tid"])
+    return kept.drop("__tid", "__own", "__at")
 
 
 def keep_representatives(
