@@ -94,14 +94,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     seeds = seeds.select(F.col("way"), "host").distinct()
     # One row for each of the two ways.
     sizes = F.broadcast(seeds.groupBy("way").agg(F.count("*").alias("seeds")))
-    restart = materialise(seeds.join(sizes, "way").select("way", "host", "seeds"), "seeds")
-    scores = restart.select("way", "host", (1 / F.col("seeds")).alias("score"))
+    restart = materialise(seeds.join(sizes, "way").select("way", "host", "seeds", (1 / F.col("seeds")).alias("start")), "seeds")
+    scores = restart.select("way", "host", F.col("start").alias("score"))
     for i in range(1, rounds + 1):
         last = scores
         moved = last.join(flow, ["way", "host"]).groupBy("way", F.col("dst").alias("host")).agg((F.sum(F.col("score") * F.col("share")) * damping).alias("score"))
         kept = F.broadcast(moved.groupBy("way").agg(F.sum("score").alias("kept")))
-        back = restart.join(kept, "way", "left").select("way", "host", ((1 - F.coalesce("kept", F.lit(0.0))) / F.col("seeds")).alias("score"))
-        scores = moved.union(back).groupBy("way", "host").agg(F.round(F.sum("score"), 15).alias("score"))
+        back = restart.join(kept, "way", "left").select("way", "host", ((1 - F.coalesce("kept", F.lit(0.0))) * F.col("start")).alias("score"))
+        # Scores are not rounded: multiplied by the seeds, that would make equal trust and distrust differ.
+        scores = moved.union(back).groupBy("way", "host").agg(F.sum("score").alias("score"))
         if i % WRITE_EVERY == 1:
             scores = materialise(scores, "scores")
             before = last.select("way", "host", F.col("score").alias("before"))
