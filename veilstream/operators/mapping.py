@@ -59,13 +59,15 @@ def with_synthetic(values: DataFrame, realistic: bool = False) -> DataFrame:
     return ranked.withColumn("synthetic", F.when(F.col("__ordinal") == 0, F.col("__base")).otherwise(token)).drop("__base", "__ordinal")
 
 
-def build_mapping(values: DataFrame, key: str, created_at: Column, ttl_seconds: int, realistic: bool = False) -> DataFrame:
-    """real_hash, synthetic, real_enc, created_at, expires_at."""
-    return _entries(with_synthetic(values, realistic), key, created_at, ttl_seconds)
+def build_mapping(values: DataFrame, key: str, created_at: Column, ttl_seconds: int, realistic: bool = False, scope: tuple[str, ...] = ()) -> DataFrame:
+    """real_hash, synthetic, real_enc, created_at, expires_at. ``scope`` names columns of values (such as a request) that go along: a
+    token's eight digits tell few values apart, not all values of all texts."""
+    return _entries(with_synthetic(values, realistic), key, created_at, ttl_seconds, scope)
 
 
-def _entries(made: DataFrame, key: str, created_at: Column, ttl_seconds: int) -> DataFrame:
-    return made.select("real_hash", "synthetic", encrypt(F.col("real"), key).alias("real_enc"), created_at.alias("created_at"), (created_at + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("expires_at"))
+def _entries(made: DataFrame, key: str, created_at: Column, ttl_seconds: int, scope: tuple[str, ...] = ()) -> DataFrame:
+    expires = (created_at + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("expires_at")
+    return made.select(*scope, "real_hash", "synthetic", encrypt(F.col("real"), key).alias("real_enc"), created_at.alias("created_at"), expires)
 
 
 def live(mapping: DataFrame, now: Column) -> DataFrame:
@@ -117,10 +119,15 @@ def apply_mapping(values: DataFrame, mapping: DataFrame, fail_open: bool = False
     return joined.withColumn("synthetic", F.coalesce("mapped", lost)).drop("mapped")
 
 
-def read_mapping(mapping: DataFrame, synthetics: DataFrame, key: str) -> DataFrame:
-    """synthetic and real for each requested synthetic value; what can't be decrypted is a miss."""
-    entries = mapping.select("synthetic", "real_enc")
-    return synthetics.join(entries, "synthetic", "left").select("synthetic", decrypt(F.col("real_enc"), key).alias("real"))
+def read_mapping(mapping: DataFrame, synthetics: DataFrame, key: str, scope: tuple[str, ...] = ()) -> DataFrame:
+    """synthetic and real, one row for each requested synthetic value; what can't be decrypted is a miss.
+
+    With ``scope`` (columns of both sides) entries of the same scope count alone. A synthetic value that stands for different
+    values there is a miss too: it can't be told whose it is.
+    """
+    by = [*scope, "synthetic"]
+    entries = mapping.groupBy(*by).agg(F.when(F.min("real_hash") == F.max("real_hash"), F.min("real_enc")).alias("real_enc"))
+    return synthetics.select(*by).join(entries, by, "left").select("synthetic", decrypt(F.col("real_enc"), key).alias("real"))
 
 
 def redact_mapped(
