@@ -27,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies: 5-word similarity of 0.8 or more."""
+    """The document with the smallest id of every group of near copies: SimHash parts and bit planes find them, 5-word similarity of 0.8 or more decides."""
     return keep_distinct(docs)
 
 

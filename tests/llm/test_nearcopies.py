@@ -73,3 +73,23 @@ def test_repeated_ids_with_different_texts(spark):
     kept = sorted(N.keep_distinct(docs).collect(), key=str)
     assert kept == sorted([(7, a), (3, b), (None, a + " x y z"), (None, None)], key=str)
     assert N.keep_distinct(docs.limit(0)).count() == 0
+
+
+def test_parts_of_the_fingerprint_find_all_near_copies(spark):
+    """Many parts and cut blocks: the groups are those of brute force. Bits of the wide SimHash differ as rarely as the plan says."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(150):
+        base = words(rng, 150)
+        texts += [" ".join(base), *[edited(rng, base, n) for n in (1, 2, 3, 9)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    parts, bits = N.key_plan(len(texts), 16)
+    assert bits == 6 and (1 - N.SAME**bits) ** parts <= N.MISS and N.key_plan(0) == N.key_plan(500) == (1, 0)
+    got = {r.doc_id: r.root for r in N.near_copies(docs, nodes=16, prints=12).collect()}
+    want = brute_groups(texts)
+    assert all((got[i] == got[j]) == (want[i] == want[j]) for i, j in combinations(range(len(texts)), 2))
+    wide = [N.wide_print(N.shingles(texts[5 * i + j].encode()), 2000) for i in range(150) for j in (0, 2)]
+    assert all(len(w) == 2000 for w in wide) and 0.45 < np.mean(wide) < 0.55
+    apart = np.mean([a != b for a, b in zip(wide[::2], wide[1::2])])
+    unlike = np.mean([a != b for a, b in zip(wide[::2], wide[2::2])])
+    assert 0 < apart < 1 - N.SAME and 0.47 < unlike < 0.53

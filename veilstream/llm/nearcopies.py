@@ -1,15 +1,19 @@
 """Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more. SimHash at a wide radius.
 
-1. Shingles: XXH64 of every run of five words (a shorter text is one shingle), as a set, over whole texts, and the SimHash of
-   the set: bit by bit the majority of its hashes. Texts of equal sets are one node from here on.
-2. Blocks: BANDS keys of ROWS min-hashes each. A pair of similarity s shares a key with probability
-   1 - (1 - s ** ROWS) ** BANDS, which is 0.9996 at 0.8. Keys with one node go, and of keys with the same nodes one stays. (Parts of a
-   SimHash can't be the keys: at similarity 0.8 about ten of 64 bits differ, and parts that would be sure to agree have five bits.)
-3. In a block, bit planes with carry-save counters (as for SimHash) find the pairs at RADIUS or fewer differing bits; one of similarity
-   0.8 lies beyond with a probability of about 2 in a million. Of these, pairs that are not yet linked are
-   compared by their whole sets, so a link is never an estimate.
-   A key with many shingles is cut by hash, and every pair of cuts is a task of its own: nothing is left out.
-4. Components: as for SimHash.
+1. Shingles: XXH64 of every run of five words (a shorter text is one shingle), as a set, over whole texts. Texts of equal sets are
+   one node from here on.
+2. Fingerprints: SimHash of the set, bit by bit the majority of its hashes. One hash gives 64 bits; more come from the same hash mixed
+   with a constant for each word. At similarity 0.8 a bit differs with a probability of 0.16 at most (0.19 for four shingles and the
+   same with one more, the smallest pair there is), so 64 bits could not both find candidates and tell them apart.
+3. Blocks: of the bits, the first PRINT_BITS are compared; the others are parts, as for op9: a node goes to a block for each part,
+   with its bits as the key. Parts have so many bits that NODES nodes or so meet in a block, and there are so many parts that a pair of
+   similarity 0.8 shares none with a probability of MISS. All of it follows from the number of documents; up to NODES there is one block.
+4. In a block, bit planes with carry-save counters (as for op9) find the nodes at RADIUS or fewer differing bits; one of similarity
+   0.8 lies beyond with a probability of about 1 in 100,000. Blocks are cut as for op9, and give a spanning forest.
+5. Exact check: the forests' components are candidate groups. In each, the pairs that are not yet linked are compared by their whole
+   sets, so a link is never an estimate. A group with many shingles is cut by hash, and every pair of cuts is a task of its own:
+   nothing is left out.
+6. Components of the links: as for op9.
 
 Defined results: A-Z count as a-z, words are cut at ASCII white space; null texts and texts without words have the
 empty set and are copies of each other; repeated rows are copies; empty tables give no rows; texts are read whole, one at a time.
@@ -17,6 +21,7 @@ empty set and are copies of each other; repeated rows are copies; empty tables g
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
@@ -24,21 +29,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilstream.llm.simhash import SEED, BitPlanes, components, keep_first, majority, text_id
+from veilstream.llm.simhash import BLOCK as PRINTS, SEED, BitPlanes, components, forest, keep_first, majority, text_id
 from veilstream.session import materialise, ship_package
 
 WORDS = 5
 #: Least similarity, as a fraction.
 ALIKE, OF = 4, 5
-BANDS, ROWS = 20, 5
-#: Bits that the SimHashes of a pair may differ in.
-RADIUS = 26
-#: Shingles in a block of the comparison.
+#: Bits that are compared in a block, and how many may differ there; bits that may differ in the plain SimHash before the sets are compared.
+PRINT_BITS, PRINT_RADIUS, RADIUS = 128, 38, 26
+#: Nodes that meet in a block on average, how often a pair may share no part, and the least probability that a bit of a pair is the same.
+NODES, MISS, SAME = 512, 4e-4, 0.8388
+#: Shingles in a block of the exact check.
 BLOCK = 1 << 20
 
-_rng = np.random.default_rng(SEED)
-_XOR = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
-_MUL = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+
+def key_plan(documents: int, nodes: int = NODES) -> tuple[int, int]:
+    """Number of parts, and the bits of each."""
+    bits = min(32, max(0, math.ceil(math.log2(max(1, documents) / nodes))))
+    return (math.ceil(math.log(MISS) / math.log(1 - SAME**bits)), bits) if bits else (1, 0)
 
 
 def shingles(text: bytes | None, k: int = WORDS) -> np.ndarray:
@@ -63,38 +71,96 @@ def node_of(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED) if len(found) else 0
 
 
-def band_keys(found: np.ndarray) -> list[int]:
-    """One key for each band of min-hashes."""
-    import xxhash
-
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for a in range(0, len(found), 512):
-        np.minimum(least, ((found[a : a + 512, None] ^ _XOR) * _MUL).min(axis=0), out=least)
-    return [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
+def wide_print(found: np.ndarray, n_bits: int) -> np.ndarray:
+    """The first n_bits of the wide SimHash of a set, a boolean each."""
+    words = -(-n_bits // 64)
+    salts = np.random.default_rng(SEED).integers(0, 1 << 64, words, dtype=np.uint64)
+    counts = np.zeros(64 * words, dtype=np.int64)
+    for a in range(0, len(found), 255):
+        x = found[a : a + 255, None] ^ salts
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return (2 * counts > len(found))[:n_bits]
 
 
 def _binary(text_col: str):
     return F.col(text_col).cast("string").cast("binary").alias("text")
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, tid (of the text), fp (of its set), n (shingles) and keys of every document."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, plan: tuple[int, int]) -> DataFrame:
+    """doc_id, tid (of the text), fp (of its set), n (shingles), print (PRINT_BITS bits) and keys (one for each part) of every document."""
     ship_package(docs.sparkSession)
+    parts, bits = plan
+    powers = 1 << np.arange(bits, dtype=np.int64)
 
     def sign(batches):
         for batch in batches:
-            fps, sizes, keys = [], [], []
+            fps, sizes, prints, keys = [], [], [], []
             for text in batch.column(2):
                 found = shingles(text.as_py())
+                wide = wide_print(found, PRINT_BITS + parts * bits)
                 fps.append(node_of(found))
                 sizes.append(len(found))
-                keys += band_keys(found)
-            signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * np.int32(BANDS)), signed(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(fps), pa.array(sizes, pa.int64()), lists], names=["doc_id", "tid", "fp", "n", "keys"])
+                prints.append(np.packbits(wide[:PRINT_BITS], bitorder="little").tobytes())
+                keys.append(wide[PRINT_BITS:].reshape(parts, bits) @ powers)
+            ids = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * np.int32(parts)), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            columns = [batch.column(0), batch.column(1), ids, pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tid", "fp", "n", "print", "keys"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_id(text_col).alias("tid"), _binary(text_col))
-    return rows.mapInArrow(sign, f"doc_id {docs.schema[id_col].dataType.simpleString()}, tid long, fp long, n long, keys array<long>")
+    return rows.mapInArrow(sign, f"doc_id {docs.schema[id_col].dataType.simpleString()}, tid long, fp long, n long, print binary, keys array<long>")
+
+
+def each_group(batches, by: int, found):
+    """found(table) of every run of rows that are alike in the first ``by`` columns; the runs may go over batches."""
+    key, held = None, []
+    for batch in batches:
+        cols = [batch.column(c).to_numpy() for c in range(by)]
+        bounds = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1 if batch.num_rows else []
+        for s, e in zip([0, *bounds], [*bounds, batch.num_rows]):
+            if s == e:
+                continue
+            now = tuple(c[s] for c in cols)
+            if now != key and held:
+                yield from found(pa.Table.from_batches(held))
+                held = []
+            key = now
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield from found(pa.Table.from_batches(held))
+
+
+def _edges(fps: np.ndarray, i, j) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(fps[i]), pa.array(fps[j])], names=["u", "v"])
+
+
+def candidates(nodes: DataFrame, prints: int = PRINTS) -> DataFrame:
+    """fp and key (one for each group of two or more) of the nodes that blocks connect. Columns fp, print, keys."""
+    keyed = nodes.select("fp", "print", F.posexplode("keys").alias("part", "key"))
+    heavy = keyed.groupBy("part", "key").agg(F.count("*").alias("m")).where(F.col("m") > prints)
+    # At most one row for each ``prints`` rows of blocks.
+    heavy = F.broadcast(heavy.select("part", "key", F.ceil(F.col("m") / prints).cast("int").alias("cuts")))
+    cut = keyed.join(heavy, ["part", "key"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int"))
+    tasks = cut.select("part", "key", "fp", "print", "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
+    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
+    tasks = tasks.select("part", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), side, "fp", "print")
+    by = ["part", "key", "a", "b"]
+
+    def near(block):
+        if block.num_rows > 1:
+            a, b, sides, fps = (block.column(c).to_numpy() for c in ("a", "b", "side", "fp"))
+            words = np.frombuffer(b"".join(block.column("print").to_pylist()), dtype=np.uint64).reshape(len(fps), -1)
+            child, parent = forest(words, None if a[0] == b[0] else sides, list(range(PRINT_BITS)), PRINT_RADIUS)
+            if len(child):
+                yield _edges(fps, child, parent)
+
+    dealt = tasks.repartition(*by).sortWithinPartitions(*by)
+    roots = components(dealt.mapInArrow(lambda batches: each_group(batches, len(by), near), "u long, v long").distinct())
+    return roots.select(F.col("node").alias("fp"), F.col("root").alias("key")).union(roots.select(F.col("root").alias("fp"), F.col("root").alias("key")).distinct())
 
 
 def set_links(sets: list[np.ndarray], sides: np.ndarray | None, rows: int = 256) -> list[tuple[int, int]]:
@@ -131,16 +197,16 @@ def set_links(sets: list[np.ndarray], sides: np.ndarray | None, rows: int = 256)
     return out
 
 
-def links(docs: DataFrame, signs: DataFrame, text_col: str, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, signs: DataFrame, text_col: str, block: int = BLOCK, prints: int = PRINTS) -> DataFrame:
     """Edges (u, v) that connect the nodes as their links do."""
-    keyed = signs.select("fp", "n", F.explode("keys").alias("key")).distinct()
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("fp")).alias("all")).where("m > 1")
-    shared = shared.groupBy("m", "size", "all").agg(F.min("key").alias("key"))
-    shared = shared.select("key", F.least(F.col("m"), F.ceil(F.col("size") / block)).cast("int").alias("cuts")).withColumn("cuts", F.greatest("cuts", F.lit(1)))
-    held = materialise(keyed.join(shared, "key").select("key", "fp", "cuts"), "candidates")
+    nodes = materialise(signs.select("fp", "n", "print", "keys").dropDuplicates(["fp"]), "nodes")
+    grouped = materialise(candidates(nodes, prints).join(nodes.select("fp", "n"), "fp"), "groups")
+    sizes = grouped.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
+    sizes = sizes.select("key", F.greatest(F.lit(1), F.least(F.col("m"), F.ceil(F.col("size") / block))).cast("int").alias("cuts"))
+    held = materialise(grouped.join(sizes, "key").select("key", "fp", "cuts"), "candidates")
 
     wanted = signs.join(held.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("tid").alias("tid"))
-    texts = docs.select(text_id(text_col).alias("tid"), _binary(text_col)).join(wanted.select("tid"), "tid", "left_semi").select("text")
+    texts = docs.select(text_id(text_col).alias("tid"), _binary(text_col)).join(wanted.select("tid").hint("merge"), "tid", "left_semi").select("text")
 
     def collect_sets(batches):
         for batch in batches:
@@ -155,38 +221,19 @@ def links(docs: DataFrame, signs: DataFrame, text_col: str, block: int = BLOCK)
     by = ["key", "a", "b"]
     dealt = tasks.join(sets, "fp").select(*by, "side", "fp", "grams").repartition(*by).sortWithinPartitions(*by)
 
-    def linked(held):
-        table = pa.Table.from_batches(held)
+    def linked(table):
         a, b, sides, fps = (table.column(c).to_numpy() for c in ("a", "b", "side", "fp"))
         found = set_links([np.frombuffer(g, dtype=np.uint64) for g in table.column("grams").to_pylist()], None if a[0] == b[0] else sides)
         if found:
-            i, j = np.array(found).T
-            yield pa.RecordBatch.from_arrays([pa.array(fps[i]), pa.array(fps[j])], names=["u", "v"])
+            yield _edges(fps, *np.array(found).T)
 
-    def compare(batches):
-        key, held = None, []
-        for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in range(3)]
-            bounds = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1 if batch.num_rows else []
-            for s, e in zip([0, *bounds], [*bounds, batch.num_rows]):
-                if s == e:
-                    continue
-                now = tuple(c[s] for c in cols)
-                if now != key and held:
-                    yield from linked(held)
-                    held = []
-                key = now
-                held.append(batch.slice(s, e - s))
-        if held:
-            yield from linked(held)
-
-    return dealt.mapInArrow(compare, "u long, v long").distinct()
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    return dealt.mapInArrow(lambda batches: each_group(batches, len(by), linked), "u long, v long").distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, nodes: int = NODES, prints: int = PRINTS) -> DataFrame:
     """doc_id, tid, fp and root (the component: its least fp) of every document."""
-    signs = materialise(signatures(docs, id_col, text_col), "signatures")
-    roots = components(links(docs, signs, text_col, block)).withColumnRenamed("node", "fp")
+    signs = materialise(signatures(docs, id_col, text_col, key_plan(docs.count(), nodes)), "signatures")
+    roots = components(links(docs, signs, text_col, block, prints)).withColumnRenamed("node", "fp")
     return signs.select("doc_id", "tid", "fp").join(roots, "fp", "left").select("doc_id", "tid", "fp", F.coalesce("root", "fp").alias("root"))
 
 

@@ -80,14 +80,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class BitPlanes:
-    """Fingerprints stored vertically: one row of words for each bit, 64 fingerprints to a word."""
+    """Fingerprints (of one word or several) stored vertically: one row of words for each bit, 64 fingerprints to a word."""
 
     def __init__(self, fps: np.ndarray, bits: list[int]):
         self.bits, self.n = bits, len(fps)
         lanes = -(-self.n // 64) * 64
-        padded = np.zeros(lanes, dtype=np.uint64)
-        padded[: self.n] = fps
-        planes = [np.packbits((padded >> np.uint64(b) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64) for b in bits]
+        words = fps.reshape(self.n, -1)
+        padded = np.zeros((lanes, words.shape[1]), dtype=np.uint64)
+        padded[: self.n] = words
+        planes = [np.packbits((padded[:, b >> 6] >> np.uint64(b & 63) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64) for b in bits]
         self.planes = np.stack(planes) if planes else np.zeros((0, lanes // 64), dtype=np.uint64)
         self.real = np.packbits(np.arange(lanes) < self.n, bitorder="little").view(np.uint64)
 
@@ -95,11 +96,12 @@ class BitPlanes:
         """(query, fingerprint) positions at radius or fewer differing bits of ``bits``."""
         # Counter words hold the count of each lane in binary; a lane that passes the top is over for good.
         n_words = max(1, (radius + 1).bit_length())
+        queries = queries.reshape(len(queries), -1)
         rows = np.arange(len(queries))
         counters = np.zeros((n_words, len(queries), self.planes.shape[1]), dtype=np.uint64)
         over = np.broadcast_to(~self.real, counters.shape[1:]).copy()
         for k, b in enumerate(self.bits):
-            mask = (np.uint64(0) - (queries[rows] >> np.uint64(b) & np.uint64(1)))[:, None]
+            mask = (np.uint64(0) - (queries[rows, b >> 6] >> np.uint64(b & 63) & np.uint64(1)))[:, None]
             carry = self.planes[k][None, :] ^ mask
             for c in counters:
                 carry, c[...] = c & carry, c ^ carry
@@ -142,8 +144,8 @@ def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             parent[:] = up
 
 
-def block_links(fps: np.ndarray, sides: np.ndarray | None, bits: list[int], radius: int = RADIUS, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct fingerprints; with sides, of those between sides 0 and 1 alone."""
+def forest(fps: np.ndarray, sides: np.ndarray | None, bits: list[int], radius: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (positions of children and parents) of the links among distinct fingerprints; with sides, of those between sides 0 and 1 alone."""
     parent = np.arange(len(fps))
     left = np.arange(len(fps)) if sides is None else np.flatnonzero(sides == 0)
     right = left if sides is None else np.flatnonzero(sides == 1)
@@ -153,7 +155,13 @@ def block_links(fps: np.ndarray, sides: np.ndarray | None, bits: list[int], radi
         q, lane = planes.within(fps[part], radius)
         _unite(parent, part[q], right[lane])
     child = np.flatnonzero(parent != np.arange(len(fps)))
-    return fps[child], fps[parent[child]]
+    return child, parent[child]
+
+
+def block_links(fps: np.ndarray, sides: np.ndarray | None, bits: list[int], radius: int = RADIUS, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints at both ends of the edges of their forest."""
+    child, parent = forest(fps, sides, bits, radius, rows)
+    return fps[child], fps[parent]
 
 
 def _key_parts(radius: int) -> list[tuple[tuple[int, int], tuple[int, int], list[int]]]:
